@@ -58,27 +58,27 @@ def _number(var: Variable, following: tuple | None) -> str:
     return rf"\d{quantifier}{'?' if ambiguous else '+'}"
 
 
-def _sequence(items: list[tuple], capture: bool) -> str:
+def _sequence(items: list[tuple], capture: bool, then: tuple | None = None) -> str:
     """Literals and numbers in order, with or without capturing the numbers."""
     out = []
     for i, (_, what) in enumerate(items):
         if isinstance(what, Variable):
-            body = _number(what, items[i + 1] if i + 1 < len(items) else None)
+            body = _number(what, items[i + 1] if i + 1 < len(items) else then)
             out.append(f"({body})" if capture else body)
         else:
             out.append(_quote(what))
     return "".join(out)
 
 
-def _free_text(following: list[tuple], at_end: bool) -> str:
+def _free_text(following: list[tuple], then: tuple | None) -> str:
     """Capture up to the first match of ``following``."""
     if not following:
-        return r"([\s\S]*+)" if at_end else "()"
+        return "()" if then else r"([\s\S]*+)"
     kind, first = following[0]
     if kind == "variable":
-        return rf"((?:(?!{_sequence(following, False)})[\s\S])*+)"
+        return rf"((?:(?!{_sequence(following, False, then)})[\s\S])*+)"
     head, rest = first[0], [("literal", first[1:])] if first[1:] else []
-    rest = _sequence(rest + following[1:], False)
+    rest = _sequence(rest + following[1:], False, then)
     stop = _quote(head)
     if not rest:
         return f"([^{stop}]*+)"
@@ -107,11 +107,11 @@ def compile_format(
 
     starts = [i for i, item in enumerate(items) if is_free(item)]
     first = starts[0] if starts else len(items)
-    body = _sequence(items[:first], True)
+    body = _sequence(items[:first], True, items[first] if starts else None)
     for n, i in enumerate(starts):
         end = starts[n + 1] if n + 1 < len(starts) else len(items)
-        following = items[i + 1:end]
-        body += _free_text(following, at_end=end == len(items)) + _sequence(following, True)
+        following, then = items[i + 1:end], items[end] if end < len(items) else None
+        body += _free_text(following, then) + _sequence(following, True, then)
 
     if empty_tail and items[-1][0] == "variable":
         tail = "([\\s\\S]*+)" if is_free(items[-1]) else f"({_number(items[-1][1], None)})"
