@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from accessloom.functions import network, text, times
+from accessloom.operators.distinct import distinct_and_all
 from accessloom.operators.geo import RangeTable, geo_join, prepare_ranges
 from accessloom.operators.parse import (
     column_widths, good_rows, parse_lines, rejected_rows,
@@ -63,14 +64,15 @@ def _on_access(name: str, fn: Callable[[DataFrame], DataFrame], sql: str, locate
 
 # ---------------------------------------------------------------- shared inputs
 
-@functools.lru_cache(maxsize=8)
-def _measured_ranges(application: str, sf_dir: str) -> RangeTable:
-    spark = SparkSession.getActiveSession()
-    return prepare_ranges(fx.nation_ranges(spark, sf_dir))
+_RANGES: dict[tuple[str, str], RangeTable] = {}
 
 
 def _ranges(spark: SparkSession, sf_dir: str) -> RangeTable:
-    return _measured_ranges(spark.sparkContext.applicationId, sf_dir)
+    """Cut, measured and cached once per session."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _RANGES:
+        _RANGES[key] = prepare_ranges(fx.nation_ranges(spark, sf_dir)).persist()
+    return _RANGES[key]
 
 
 def parsed_rows(
@@ -475,6 +477,17 @@ def _register_traffic() -> None:
 
 _register_traffic()
 
+_on_access("total_pv_by_text",
+           lambda a: a.filter(traffic.on_day_text(DAY)).agg(F.count("*").alias("total_num")),
+           "SELECT count(*) AS total_num FROM access WHERE time_str LIKE '2024-01-15%'")
+_on_access("distinct_by_grouping",
+           lambda a: distinct_and_all(a, "ip", times.date_text(F.col("timestamp")).alias("day")),
+           """SELECT strftime(t, '%Y-%m-%d') AS day, count(DISTINCT ip) AS ip_num, count(*) AS pv_num
+              FROM access GROUP BY ALL""")
+_on_access("request_num_by_province_unresolved",
+           lambda a: traffic.request_num_by_province(a, FIRST, keep_unresolved=True, open_ended=True),
+           f"SELECT count(*) AS value, province FROM access WHERE {_SINCE} GROUP BY province",
+           located=True)
 _on_access("request_num_by_seconds_latest",
            lambda a: traffic.request_num_by_seconds(a, DAY), f"""
     SELECT "timestamp"*1000 AS "timestamp", count(*) AS total_request_num FROM access

@@ -35,6 +35,10 @@ class RangeTable:
     shifts: DataFrame     # block, shift: at most 65,536 rows, whatever the ranges
     cell_bytes: int
 
+    def persist(self) -> RangeTable:
+        """Keep the cut table on the executors, for many queries or micro-batches."""
+        return RangeTable(self.cells.persist(), self.shifts.persist(), self.cell_bytes)
+
 
 def prepare_ranges(ranges: DataFrame) -> RangeTable:
     """Cut ``lo, hi, city_id, region`` into cells and measure the result.

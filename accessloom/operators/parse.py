@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Hashable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,94 +21,112 @@ LINE = "rejected_line"
 _LINE = "__line"
 _FIELDS = "__fields"
 
+_TIMES = (v.TIME_LOCAL, v.TIME_ISO8601)
 
-def _fields_of(line: Column, fmt: LogFormat) -> Column:
-    """All captured fields, preceded by an empty one; other lengths mean no match."""
-    return F.split(F.regexp_replace(line, F.lit(fmt.regex), F.lit(fmt.replacement)), FIELD_SEPARATOR)
+Choice = tuple[Hashable, Column]
 
 
-def _choose(format_column: str | None, per_format: dict[str, Column]) -> Column:
-    """The expression of the row's own format."""
-    if format_column is None:
-        (only,) = per_format.values()
-        return only
-    out = None
-    for name, expr in per_format.items():
-        out = (F if out is None else out).when(F.col(format_column) == name, expr)
-    return out
-
-
-def _field(i: int) -> Column:
-    return F.get(F.col(_FIELDS), F.lit(i))
-
-
-def _matches(fmt: LogFormat) -> Column:
-    return (F.size(_FIELDS) == len(fmt.variables) + 1) & (_field(0) == "")
-
-
-def _position(fmt: LogFormat, *expansions: str) -> int | None:
-    """Field number of the last variable expanded that way."""
-    found = [i for i, var in enumerate(fmt.variables, start=1) if var.expand in expansions]
-    return found[-1] if found else None
+class _Layout:
+    """Where the captures of several formats go.
 
+    All formats share one row of slots, a slot per distinct variable, so that what
+    follows the match is written once, not once per format.
+    """
 
-def _bind_request(rows: DataFrame, formats: Sequence[LogFormat], format_column) -> DataFrame:
-    at = {f.name: _position(f, v.REQUEST) for f in formats}
-    if not any(at.values()):
+    def __init__(self, formats: Sequence[LogFormat], format_column: str | None) -> None:
+        self.formats = formats
+        self.format_column = format_column
+        self.slots = list(dict.fromkeys(s for f in formats for s in f.slots))
+
+    def field(self, slot: v.Variable) -> Column:
+        return F.get(F.col(_FIELDS), F.lit(self.slots.index(slot) + 1))
+
+    def fields_of(self, line: Column) -> Column:
+        """All slots, after an empty one; anything else is no match."""
+        return self.choose({
+            f.name: (f.name, F.split(
+                F.regexp_replace(line, F.lit(f.regex), F.lit(f.replacement(self.slots))),
+                FIELD_SEPARATOR,
+            ))
+            for f in self.formats
+        })
+
+    def matched(self) -> Column:
+        full = F.size(_FIELDS) == len(self.slots) + 1
+        return F.coalesce(full & (F.get(F.col(_FIELDS), F.lit(0)) == ""), F.lit(False))
+
+    def choose(self, per_format: dict[str, Choice | None]) -> Column:
+        """The expression of the row's own format; NULL where it has none.
+
+        Expressions come with a key; formats with equal keys share a branch.
+        """
+        if self.format_column is None:
+            ((_, only),) = per_format.values()
+            return only
+        branches: dict[Hashable, tuple[Column, list[str]]] = {}
+        for name, choice in per_format.items():
+            if choice is not None:
+                key, expr = choice
+                branches.setdefault(key, (expr, []))[1].append(name)
+        out = None
+        for expr, names in branches.values():
+            out = (F if out is None else out).when(F.col(self.format_column).isin(names), expr)
+        return out
+
+    def slot_of(self, fmt: LogFormat, *expansions: str) -> v.Variable | None:
+        """The format's last variable that is expanded that way."""
+        found = [var for var in fmt.variables if var.expand in expansions]
+        return found[-1] if found else None
+
+
+def _bind_request(rows: DataFrame, layout: _Layout) -> DataFrame:
+    slots = {f.name: layout.slot_of(f, v.REQUEST) for f in layout.formats}
+    if not any(slots.values()):
         return rows
-    null = F.lit(None).cast("string")
-    request = _choose(format_column, {f: _field(i) if i else null for f, i in at.items()})
+    request = layout.choose({f: (s, layout.field(s)) if s else None for f, s in slots.items()})
     rows = bind(rows, __words=text.request_words(request))
-    return bind(rows, **{f"__{k}": c for k, c in text.request_parts(request, F.col("__words")).items()})
+    parts = text.request_parts(request, F.col("__words"))
+    return bind(rows, **{f"__{name}": part for name, part in parts.items()})
 
 
-def _bind_time(rows: DataFrame, formats: Sequence[LogFormat], format_column, honor_offset) -> DataFrame:
-    at = {f.name: _position(f, v.TIME_LOCAL, v.TIME_ISO8601) for f in formats}
-    if not any(at.values()):
+def _bind_time(rows: DataFrame, layout: _Layout, honor_offset: bool) -> DataFrame:
+    slots = {f.name: layout.slot_of(f, *_TIMES) for f in layout.formats}
+    if not any(slots.values()):
         return rows
-    null = F.lit(None).cast("string")
-    layouts = {f.name: f.variables[at[f.name] - 1].expand for f in formats if at[f.name]}
-    raw = _choose(format_column, {f: _field(i) if i else null for f, i in at.items()})
-    rows = bind(rows, __clean=times.clean_time(raw))
 
-    def by_layout(expr):
-        if len(set(layouts.values())) == 1:
-            return expr(next(iter(layouts.values())))
-        return _choose(format_column, {f: expr(layout) for f, layout in layouts.items()})
+    def by_kind(expr):
+        return layout.choose(
+            {f: (s.expand, expr(s.expand)) if s else None for f, s in slots.items()}
+        )
 
+    raw = layout.choose({f: (s, layout.field(s)) if s else None for f, s in slots.items()})
+    rows = bind(rows, __clean=times.clean_time(raw))
     clean, wall = F.col("__clean"), F.col("__wall")
-    rows = bind(rows, __wall=by_layout(lambda layout: times.wall_clock(clean, layout)))
+    rows = bind(rows, __wall=by_kind(lambda kind: times.wall_clock(clean, kind)))
     return bind(
-        rows,
-        __event_time=by_layout(lambda layout: times.event_time_of(clean, wall, layout, honor_offset)),
+        rows, __event_time=by_kind(lambda kind: times.event_time_of(clean, wall, kind, honor_offset))
     )
 
 
-def _columns_of(fmt: LogFormat, normalise: bool, honor_offset: bool) -> dict[str, Column]:
+def _columns_of(
+    fmt: LogFormat, layout: _Layout, normalise: bool, honor_offset: bool
+) -> dict[str, Choice]:
     """Output columns of a format; of two variables for one column the later wins."""
-    out: dict[str, Column] = {}
-    for i, var in enumerate(fmt.variables, start=1):
+    out: dict[str, Choice] = {}
+    for var in fmt.variables:
         if var.expand == v.REQUEST:
             for name in ("request_method", "request_url", "args", "server_protocol"):
-                out[name] = text.stored_text(F.col(f"__{name}"), normalise)
-        elif var.expand in (v.TIME_LOCAL, v.TIME_ISO8601):
-            out.update(times.time_columns(F.col("__event_time"), F.col("__wall"), honor_offset))
+                out[name] = v.REQUEST, text.stored_text(F.col(f"__{name}"), normalise)
+        elif var.expand in _TIMES:
+            columns = times.time_columns(F.col("__event_time"), F.col("__wall"), honor_offset)
+            out.update({name: ("time", column) for name, column in columns.items()})
         elif var.kind == "string":
-            out[var.column] = text.stored_text(_field(i), normalise)
+            out[var.column] = var, text.stored_text(layout.field(var), normalise)
         else:
-            out[var.column] = text.stored_number(_field(i), var.kind, normalise)
+            out[var.column] = var, text.stored_number(layout.field(var), var.kind, normalise)
     return out
 
 
-def _kinds(formats: Sequence[LogFormat]) -> dict[str, str]:
-    kinds = {"timestamp": "bigint", "event_time": "timestamp"}
-    for fmt in formats:
-        for var in fmt.variables:
-            if var.expand is None:
-                kinds[var.column] = var.kind
-    return kinds
-
-
 def parse_lines(
     lines: DataFrame,
     formats: LogFormat | Sequence[LogFormat],
@@ -134,29 +152,29 @@ def parse_lines(
     if len({f.name for f in formats}) < len(formats):
         raise ValueError("two formats share a name")
 
+    layout = _Layout(formats, format_column)
     passed = [c for c in lines.columns if c != line]
-    fields = _choose(format_column, {f.name: _fields_of(F.col(_LINE), f) for f in formats})
-    split = bind(lines.select(*passed, text.strip(F.col(line)).alias(_LINE)), **{_FIELDS: fields})
-    split = _bind_request(split, formats, format_column)
-    split = _bind_time(split, formats, format_column, honor_offset)
+    split = bind(
+        lines.select(*passed, text.strip(F.col(line)).alias(_LINE)),
+        **{_FIELDS: layout.fields_of(F.col(_LINE))},
+    )
+    split = _bind_request(split, layout)
+    split = _bind_time(split, layout, honor_offset)
 
-    per_format = {f.name: _columns_of(f, normalise, honor_offset) for f in formats}
+    per_format = {f.name: _columns_of(f, layout, normalise, honor_offset) for f in formats}
     names = list(dict.fromkeys(n for columns in per_format.values() for n in columns))
-    kinds = _kinds(formats)
-    chosen = {}
-    for name in names:
-        null = F.lit(None).cast(kinds.get(name, "string"))
-        chosen[name] = _choose(
-            format_column, {f: columns.get(name, null) for f, columns in per_format.items()}
-        )
-
-    matched = F.coalesce(_choose(format_column, {f.name: _matches(f) for f in formats}), F.lit(False))
-    reason = F.when(F.col(_FIELDS).isNull(), "unknown format").when(~matched, "format mismatch")
-    timed = {f.name: F.lit("time_str" in per_format[f.name]) for f in formats}
-    if "time_str" in names:
-        reason = reason.when(
-            _choose(format_column, timed) & F.col("__event_time").isNull(), "unreadable time"
-        )
+    chosen = {
+        name: layout.choose({f: columns.get(name) for f, columns in per_format.items()})
+        for name in names
+    }
+
+    reason = F.when(F.col(_FIELDS).isNull(), "unknown format").when(~layout.matched(), "format mismatch")
+    timed = [f.name for f in formats if "time_str" in per_format[f.name]]
+    if timed:
+        unread = F.col("__event_time").isNull()
+        if len(timed) < len(formats):
+            unread = F.col(format_column).isin(timed) & unread
+        reason = reason.when(unread, "unreadable time")
 
     parsed = split.select(
         *passed,

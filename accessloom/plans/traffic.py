@@ -32,6 +32,11 @@ def in_day(as_of: Day, open_ended: bool = False) -> Column:
     return since & (F.col("timestamp") < epoch_of(f"{day + dt.timedelta(days=1)} 00:00:00"))
 
 
+def on_day_text(as_of: Day) -> Column:
+    """The same day by the first characters of ``time_str``, for tables without ``timestamp``."""
+    return F.startswith("time_str", F.lit(str(as_day(as_of))))
+
+
 def in_hour(as_of: Moment) -> Column:
     hour = as_hour(as_of)
     start = epoch_of(f"{hour:%Y-%m-%d %H:%M:%S}")
@@ -104,8 +109,12 @@ def request_num_by_status_code(
     return largest(_counted(rows, "request_url"), "total_num", "request_url", limit=limit)
 
 
-def request_num_by_province(access: DataFrame, as_of: Day, *, open_ended: bool = False) -> DataFrame:
-    rows = access.filter(in_day(as_of, open_ended) & (F.col("province") != UNRESOLVED))
+def request_num_by_province(
+    access: DataFrame, as_of: Day, *, keep_unresolved: bool = False, open_ended: bool = False
+) -> DataFrame:
+    rows = access.filter(in_day(as_of, open_ended))
+    if not keep_unresolved:
+        rows = rows.filter(F.col("province") != UNRESOLVED)
     return largest(_counted(rows, "province", "value"), "value", "province", limit=None)
 
 
@@ -188,7 +197,7 @@ def request_num_by_seconds(
 
 def spider_by_ua(
     access: DataFrame, as_of: Day | None = None, *, match: str = "word", percent: bool = False,
-    open_ended: bool = False,
+    ascending: bool = False, open_ended: bool = False,
 ) -> DataFrame:
     """Requests per crawler; all dates unless ``as_of`` is given."""
     ua = F.col("ua")
@@ -203,7 +212,7 @@ def spider_by_ua(
     counted = _counted(access.filter(found), "ua")
     if percent:
         counted = with_percent(counted, "total_num")
-    return largest(counted, "total_num", "ua", limit=None, ascending_output=False)
+    return largest(counted, "total_num", "ua", limit=None, ascending_output=ascending)
 
 
 def device_type_by_ua(

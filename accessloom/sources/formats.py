@@ -10,6 +10,7 @@ tried twice and hostile lines cost no more than honest ones.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,10 +36,15 @@ class LogFormat:
     variables: tuple[Variable, ...]
     regex: str
 
+    def replacement(self, slots: Sequence[Variable] | None = None) -> str:
+        """Replacement text that puts the captures into ``slots``, each after a separator."""
+        group = {var: i for i, var in enumerate(self.variables, start=1)}
+        slots = self.slots if slots is None else slots
+        return "".join(FIELD_SEPARATOR + (f"${group[s]}" if s in group else "") for s in slots)
+
     @property
-    def replacement(self) -> str:
-        groups = range(1, len(self.variables) + 1)
-        return "".join(f"{FIELD_SEPARATOR}${i}" for i in groups)
+    def slots(self) -> tuple[Variable, ...]:
+        return tuple(dict.fromkeys(self.variables))
 
     @property
     def vars_joined(self) -> str:

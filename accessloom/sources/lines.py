@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 
 from accessloom.functions.text import strip
 from accessloom.sources.formats import LogFormat, compile_format
@@ -94,6 +95,25 @@ def from_envelopes(queue: DataFrame) -> DataFrame:
     ).select("e.*")
 
 
+def read_queue(spark: SparkSession, source: str, *, stream: bool = True, **options) -> DataFrame:
+    """The ``value`` column of a queue: ``text``, ``kafka`` or any source that has one.
+
+    Start positions and batch bounds are the source's own options, such as
+    ``startingOffsets``, ``maxOffsetsPerTrigger``, ``maxFilesPerTrigger``, ``cleanSource``.
+    """
+    reader = spark.readStream if stream else spark.read
+    return reader.format(source).options(**options).load().select("value")
+
+
+def start_queueing(
+    envelopes: DataFrame, sink: str, checkpoint: str, *, every: str | None = "1 second", **options
+) -> StreamingQuery:
+    """Append a stream of envelopes to a queue; ``every=None`` handles what is there."""
+    writer = envelopes.writeStream.format(sink).options(checkpointLocation=checkpoint, **options)
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return writer.trigger(**trigger).start()
+
+
 def formats_in(envelopes: DataFrame, server: str, *, max_formats: int = 1000) -> list[LogFormat]:
     """The formats that occur in decoded envelopes, compiled.
 

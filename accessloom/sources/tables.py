@@ -7,12 +7,15 @@ readers of either prune the other's folders.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from accessloom.functions.times import PERIODS, as_day, period_name, period_of
-from accessloom.operators.parse import PARSE_OK, good_rows, rejected_rows
+from accessloom.operators.parse import PARSE_OK, good_rows, parse_lines, rejected_rows
+from accessloom.sources.formats import LogFormat
 
 OUTCOME = "outcome"
 PARSED, REJECTED = "parsed", "rejected"
@@ -62,9 +65,22 @@ def write_access(
     rows.write.mode(mode).partitionBy(OUTCOME, PERIOD).parquet(path)
 
 
-def _read(spark: SparkSession, path: str) -> DataFrame:
+def access_schema(spark: SparkSession, formats: LogFormat | Sequence[LogFormat]) -> StructType:
+    """Columns of the table for lines of these formats; no file is looked at."""
+    formats = [formats] if isinstance(formats, LogFormat) else list(formats)
+    lines = spark.createDataFrame([], "log_format_name string, value string")
+    schema = parse_lines(lines, formats, format_column="log_format_name").schema
+    tags = StructType().add("node_id", "string").add("app_name", "string")
+    return StructType(tags.fields + schema.fields).add(OUTCOME, "string").add(PERIOD, "string")
+
+
+def _read(spark: SparkSession, path: str, schema: StructType | None, folders: list[str]) -> DataFrame:
+    reader = spark.read.option("basePath", path)
+    paths = folders or [path]
+    if schema is not None:
+        return reader.schema(schema).parquet(*paths)
     # Formats with other columns may have been added later.
-    df = spark.read.option("mergeSchema", "true").parquet(path)
+    df = reader.option("mergeSchema", "true").parquet(*paths)
     # Partition values are inferred, and a table of years would give numbers.
     return df.withColumn(PERIOD, F.col(PERIOD).cast("string"))
 
@@ -73,21 +89,36 @@ def read_access(
     spark: SparkSession,
     path: str,
     *,
+    schema: StructType | None = None,
     split_save: str | None = None,
     first: dt.date | str | None = None,
     last: dt.date | str | None = None,
+    folders_only: bool = False,
 ) -> DataFrame:
-    """Parsed rows; with ``first`` (and ``last``) only the periods of those days."""
-    rows = good_rows(_read(spark, path).filter(F.col(OUTCOME) == PARSED).drop(OUTCOME))
-    if first is None:
-        return rows
-    if split_save is None:
-        raise ValueError("a period needs split_save")
-    first, last = as_day(first), as_day(last or first)
-    days = (first + dt.timedelta(days=i) for i in range((last - first).days + 1))
-    return rows.filter(F.col(PERIOD).isin(sorted({period_name(d, split_save) for d in days})))
-
-
-def read_rejected(spark: SparkSession, path: str) -> DataFrame:
-    return rejected_rows(_read(spark, path).filter(F.col(OUTCOME) == REJECTED))
+    """Parsed rows; with ``first`` (and ``last``) only the periods of those days.
 
+    Give the ``schema`` (see :func:`access_schema`) for large tables; without it the
+    footer of every file is read to find the columns.  ``folders_only`` looks at the
+    folders of the periods alone instead of listing the table.  They must exist, and it
+    is for tables written by batch jobs: a stream's commit log is kept for the whole table.
+    """
+    periods = None
+    if first is not None:
+        if split_save is None:
+            raise ValueError("a period needs split_save")
+        start, end = as_day(first), as_day(last or first)
+        days = (start + dt.timedelta(days=i) for i in range((end - start).days + 1))
+        periods = sorted({period_name(d, split_save) for d in days})
+    folders = []
+    if folders_only:
+        if periods is None:
+            raise ValueError("folders_only needs first")
+        folders = [f"{path}/{OUTCOME}={PARSED}/{PERIOD}={p}" for p in periods]
+    rows = _read(spark, path, schema, folders).filter(F.col(OUTCOME) == PARSED)
+    if periods is not None:
+        rows = rows.filter(F.col(PERIOD).isin(periods))
+    return good_rows(rows.drop(OUTCOME))
+
+
+def read_rejected(spark: SparkSession, path: str, *, schema: StructType | None = None) -> DataFrame:
+    return rejected_rows(_read(spark, path, schema, []).filter(F.col(OUTCOME) == REJECTED))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from accessloom.functions.measures import kilobytes
 from accessloom.functions.network import UNRESOLVED
 from accessloom.functions.text import has_word
+from accessloom.operators.distinct import distinct_and_all
 from accessloom.operators.ranking import largest
 
 LATE = "10 minutes"
@@ -21,8 +22,8 @@ def _bucket(width: str) -> Column:
     return F.window("event_time", width)
 
 
-def _start(width_column: str = "window") -> Column:
-    return F.col(f"{width_column}.start").cast("long")
+def _start() -> Column:
+    return F.col("window.start").cast("long")
 
 
 def live_pv_by_second(rows: DataFrame, late: str = LATE) -> DataFrame:
@@ -45,12 +46,8 @@ def live_ip_pv_by_minute(rows: DataFrame, late: str = LATE) -> DataFrame:
 
     Two aggregations in a row, so a busy minute or address never gathers in one place.
     """
-    per_ip = rows.withWatermark("event_time", late).groupBy(_bucket("1 minute"), "ip").agg(
-        F.count("*").alias("n")
-    )
-    per_minute = per_ip.groupBy("window").agg(
-        F.count("*").alias("ip_num"), F.sum("n").alias("pv_num")
-    )
+    watched = rows.withWatermark("event_time", late)
+    per_minute = distinct_and_all(watched, "ip", _bucket("1 minute"))
     return per_minute.select("ip_num", "pv_num", _start().alias("time_str"))
 
 
@@ -64,12 +61,9 @@ def live_ip_pv_by_minute_estimate(rows: DataFrame, late: str = LATE, rsd: float
 
 def live_total_ip(rows: DataFrame, late: str = LATE) -> DataFrame:
     """Exact visitors per day, once the day is complete."""
-    per_ip = rows.withWatermark("event_time", late).groupBy(_bucket("1 day"), "ip").agg(
-        F.count("*").alias("n")
-    )
-    return per_ip.groupBy("window").agg(F.count("*").alias("total_num")).select(
-        "total_num", _start().alias("time_str")
-    )
+    watched = rows.withWatermark("event_time", late)
+    per_day = distinct_and_all(watched, "ip", _bucket("1 day"))
+    return per_day.select(F.col("ip_num").alias("total_num"), _start().alias("time_str"))
 
 
 def live_total_pv(rows: DataFrame, late: str = LATE) -> DataFrame:

@@ -117,8 +117,14 @@ LINES = {
 }
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for a table that comes in fewer pieces, as a small file does."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.isStreaming or df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def rendered(events: DataFrame, name: str = "combined_plus") -> DataFrame:
-    return events.select(LINES[name]().alias("value"))
+    return spread(events).select(LINES[name]().alias("value"))
 
 
 def nation_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:

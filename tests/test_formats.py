@@ -81,7 +81,7 @@ def test_spark_agrees_with_python(spark):
     base = '1.2.3.4 - - [11/Sep/2020:15:20:43 +0800] "GET /a HTTP/1.1" 200 12 "-" "ua" 1 2'
     lines = [base] + [base[:i] + extra + base[i:] for i in range(len(base)) for extra in ('"', " ", '" 5 6 "', "]")]
     rows = spark.createDataFrame([(x,) for x in lines], "value string").select(
-        "value", F.split(F.regexp_replace("value", F.lit(fmt.regex), F.lit(fmt.replacement)), "\n").alias("f")
+        "value", F.split(F.regexp_replace("value", F.lit(fmt.regex), F.lit(fmt.replacement())), "\n").alias("f")
     ).collect()
     for row in rows:
         m = lazy(fmt).match(row.value)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from accessloom.operators.parse import good_rows, parse_lines
 from accessloom.plans import traffic
 from accessloom.sources.formats import compile_format
-from accessloom.sources.lines import App, stream_apps, to_envelopes
+from accessloom.sources.lines import App, read_queue, start_queueing, stream_apps, to_envelopes
 from accessloom.sources.tables import read_access, read_rejected
 from accessloom.streaming import live
 from accessloom.streaming.ingest import (
@@ -70,9 +70,9 @@ def test_tail_starts_at_the_end(spark, site):
 def test_envelope_queue(spark, site):
     queue = str(site.path / "queue")
     sent = to_envelopes(stream_apps(spark, site.apps), [FMT])
-    (sent.writeStream.format("text").option("path", queue)
-     .option("checkpointLocation", str(site.path / "qo")).trigger(availableNow=True).start().awaitTermination())
-    parsed = parse_envelopes(spark.readStream.text(queue), [FMT])
+    start_queueing(sent, "text", str(site.path / "qo"), every=None, path=queue).awaitTermination()
+    assert read_queue(spark, "text", stream=False, path=queue).count() == 505
+    parsed = parse_envelopes(read_queue(spark, "text", path=queue, maxFilesPerTrigger=1), [FMT])
     table = str(site.path / "t")
     start_ingest(parsed, table, str(site.path / "o"), every=None).awaitTermination()
     rows = read_access(spark, table)

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from accessloom.operators.parse import good_rows, parse_lines
 from accessloom.sources.formats import compile_format
-from accessloom.sources.tables import read_access, read_rejected, with_period, write_access
+from accessloom.sources.tables import access_schema, read_access, read_rejected, with_period, write_access
 from fixtures import rendered as fx
 
 
@@ -38,8 +38,17 @@ def test_only_wanted_periods_are_read(spark, tmp_path, parsed, capsys):
     assert "outcome" in filters and "2024_01_15" in filters
     few = read_access(spark, path, split_save="day", first="2024-01-15", last="2024-01-17")
     assert few.select("period").distinct().count() == 3
+    schema = access_schema(spark, fx.format_named("combined_plus"))
+    for folders_only in (False, True):
+        given = read_access(
+            spark, path, schema=schema, split_save="day", first="2024-01-15", folders_only=folders_only)
+        assert given.select(day.columns).exceptAll(day).count() == 0 and given.count() == expected
+        assert given.filter("node_id is not null").count() == 0
+    assert {r.line for r in read_rejected(spark, path, schema=schema).collect()} == {"junk", "more junk"}
     with pytest.raises(ValueError):
         read_access(spark, path, first="2024-01-15")
+    with pytest.raises(ValueError):
+        read_access(spark, path, folders_only=True)
 
 
 def test_columns_may_be_added(spark, tmp_path, parsed):

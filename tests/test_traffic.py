@@ -52,6 +52,8 @@ def test_rankings(access):
     assert rows(traffic.request_num_by_status_code(access, DAY, code="500")) == [(1, "/2"), (1, "/1")]
     assert rows(traffic.request_num_by_status_code(access, DAY, code="code 404")) == [(1, "/2")]
     assert rows(traffic.request_num_by_province(access, DAY)) == [(2, "Guangdong"), (2, "Beijing")]
+    kept = traffic.request_num_by_province(access, DAY, keep_unresolved=True)
+    assert rows(kept) == [(1, "0"), (2, "Guangdong"), (2, "Beijing")]
     with pytest.raises(ValueError):
         traffic.request_num_by_url(access, DAY, limit=-1)
 
@@ -90,6 +92,7 @@ def test_agents(access):
     assert rows(traffic.spider_by_ua(access, DAY, match="substring")) == [(2, "web spider"), (1, "Baiduspider")]
     assert rows(traffic.spider_by_ua(access, match="substring", percent=True)) == [
         (2, "web spider", 66.67), (1, "Baiduspider", 33.33)]
+    assert rows(traffic.spider_by_ua(access, match="substring", ascending=True))[0] == (1, "Baiduspider")
     assert rows(traffic.device_type_by_ua(access)) == [(1, 2)]
     assert rows(traffic.device_type_by_ua(access, DAY)) == [(1, 1)]
 
