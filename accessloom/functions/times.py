@@ -93,7 +93,7 @@ def time_parts(raw: Column, layout: str, honor_offset: bool = False) -> dict[str
 
 def minute_of(epoch: Column) -> Column:
     """Epoch second of the start of the minute."""
-    return F.floor(epoch / 60) * 60
+    return epoch - F.pmod(epoch, F.lit(60))
 
 
 def millis(epoch: Column) -> Column:

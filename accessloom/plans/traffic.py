@@ -60,8 +60,12 @@ def _counted(rows: DataFrame, key: str, name: str = "total_num") -> DataFrame:
 
 # ---------------------------------------------------------------- totals
 
-def total_ip(access: DataFrame, as_of: Day, *, open_ended: bool = False) -> DataFrame:
-    return access.filter(in_day(as_of, open_ended)).agg(F.count_distinct("ip").alias("total_num"))
+def total_ip(
+    access: DataFrame, as_of: Day, *, rsd: float | None = None, open_ended: bool = False
+) -> DataFrame:
+    """Visitors; exact unless a relative error ``rsd`` is allowed."""
+    visitors = F.count_distinct("ip") if rsd is None else F.approx_count_distinct("ip", rsd)
+    return access.filter(in_day(as_of, open_ended)).agg(visitors.alias("total_num"))
 
 
 def total_pv(access: DataFrame, as_of: Day, *, open_ended: bool = False) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from accessloom.functions.times import PERIODS, as_day, period_name, period_of
-from accessloom.operators.parse import PARSE_OK, good_rows, parse_lines, rejected_rows
+from accessloom.operators.parse import LINE, PARSE_OK, REASON, parse_lines, rejected_rows
 from accessloom.sources.formats import LogFormat
 
 OUTCOME = "outcome"
@@ -36,9 +36,10 @@ def with_period(rows: DataFrame, split_save: str | None, *, by: str = "event") -
 
 
 def with_folders(parsed: DataFrame, split_save: str | None, *, by: str = "event") -> DataFrame:
-    """Add the two columns the table is partitioned by."""
+    """Add the two columns the table is partitioned by; the folder tells the outcome."""
     outcome = F.when(F.col(PARSE_OK), PARSED).otherwise(REJECTED)
-    return with_period(parsed, split_save, by=by).withColumn(OUTCOME, outcome)
+    rows = with_period(parsed, split_save, by=by).withColumn(OUTCOME, outcome)
+    return rows.drop(PARSE_OK)
 
 
 def write_access(
@@ -71,7 +72,11 @@ def access_schema(spark: SparkSession, formats: LogFormat | Sequence[LogFormat])
     lines = spark.createDataFrame([], "log_format_name string, value string")
     schema = parse_lines(lines, formats, format_column="log_format_name").schema
     tags = StructType().add("node_id", "string").add("app_name", "string")
-    return StructType(tags.fields + schema.fields).add(OUTCOME, "string").add(PERIOD, "string")
+    fields = [f for f in tags.fields + schema.fields if f.name not in (PARSE_OK, "log_format_name")]
+    return (
+        StructType(fields).add("log_format_name", "string")
+        .add(OUTCOME, "string").add(PERIOD, "string")
+    )
 
 
 def _read(spark: SparkSession, path: str, schema: StructType | None, folders: list[str]) -> DataFrame:
@@ -117,8 +122,9 @@ def read_access(
     rows = _read(spark, path, schema, folders).filter(F.col(OUTCOME) == PARSED)
     if periods is not None:
         rows = rows.filter(F.col(PERIOD).isin(periods))
-    return good_rows(rows.drop(OUTCOME))
+    return rows.drop(OUTCOME, REASON, LINE)
 
 
 def read_rejected(spark: SparkSession, path: str, *, schema: StructType | None = None) -> DataFrame:
-    return rejected_rows(_read(spark, path, schema, []).filter(F.col(OUTCOME) == REJECTED))
+    rows = _read(spark, path, schema, []).filter(F.col(OUTCOME) == REJECTED)
+    return rejected_rows(rows.withColumn(PARSE_OK, F.lit(False)))

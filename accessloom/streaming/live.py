@@ -66,6 +66,14 @@ def live_total_ip(rows: DataFrame, late: str = LATE) -> DataFrame:
     return per_day.select(F.col("ip_num").alias("total_num"), _start().alias("time_str"))
 
 
+def live_total_ip_estimate(rows: DataFrame, late: str = LATE, rsd: float = 0.02) -> DataFrame:
+    """Estimated visitors of the day so far."""
+    estimates = rows.withWatermark("event_time", late).groupBy(_bucket("1 day")).agg(
+        F.approx_count_distinct("ip", rsd).alias("total_num")
+    )
+    return estimates.select("total_num", _start().alias("time_str"))
+
+
 def live_total_pv(rows: DataFrame, late: str = LATE) -> DataFrame:
     counts = rows.withWatermark("event_time", late).groupBy(_bucket("1 day")).agg(
         F.count("*").alias("total_num")

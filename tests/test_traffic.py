@@ -34,6 +34,7 @@ def rows(df):
 
 def test_totals(access):
     assert rows(traffic.total_ip(access, DAY)) == [(3,)]
+    assert rows(traffic.total_ip(access, DAY, rsd=0.01)) == [(3,)]
     assert rows(traffic.total_pv(access, DAY)) == [(5,)]
     assert rows(traffic.total_pv(access, dt.date(2024, 1, 15), open_ended=True)) == [(6,)]
     assert rows(traffic.total_ip(access, "2020-01-01")) == [(0,)]
