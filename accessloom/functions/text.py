@@ -50,8 +50,11 @@ def request_parts(request: Column, words: Column | None = None) -> dict[str, Col
 def request_words(request: Column) -> Column:
     """The words of a request of three or more, else its whole text as the only word."""
     words = F.split(request, " ")
+    # Only a request that starts with something odd can be blank; the others are spared
+    # the look at both their ends.
+    odd = ~F.get(words, F.lit(0)).between("!", "~~")
     return (
-        F.when(strip(request) == "", F.array().cast("array<string>"))
+        F.when(odd & (strip(request) == ""), F.array().cast("array<string>"))
         .when(F.size(words) >= 3, words)
         .otherwise(F.array(request))
     )
@@ -61,7 +64,8 @@ def stored_text(col: Column, normalise: bool = True) -> Column:
     """Text as stored: ``-`` for empty, surrounding double quotes removed."""
     if not normalise:
         return col
-    return F.when(col == "", F.lit("-")).otherwise(F.btrim(col, F.lit('"')))
+    quoted = F.contains(col, F.lit('"'))
+    return F.when(col == "", F.lit("-")).when(quoted, F.btrim(col, F.lit('"'))).otherwise(col)
 
 
 def stored_number(col: Column, kind: str, normalise: bool = True) -> Column:

@@ -49,7 +49,8 @@ _PATTERN = {"time_local": "d/MMM/yyyy:H:m:s", "time_iso8601": "yyyy-M-d'T'H:m:s"
 
 
 def clean_time(raw: Column) -> Column:
-    return F.trim(F.translate(raw, "[]", ""))
+    bracketed = F.contains(raw, F.lit("[")) | F.contains(raw, F.lit("]"))
+    return F.trim(F.when(bracketed, F.translate(raw, "[]", "")).otherwise(raw))
 
 
 def wall_clock(clean: Column, layout: str) -> Column:

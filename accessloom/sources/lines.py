@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -114,10 +114,13 @@ def start_queueing(
     return writer.trigger(**trigger).start()
 
 
-def formats_in(envelopes: DataFrame, server: str, *, max_formats: int = 1000) -> list[LogFormat]:
+def formats_in(
+    envelopes: DataFrame, server: str | Callable[[str], str], *, max_formats: int = 1000
+) -> list[LogFormat]:
     """The formats that occur in decoded envelopes, compiled.
 
-    One aggregation over two columns; more than ``max_formats`` is an error.
+    ``server`` is their server type, or tells it from a format's name.  One aggregation
+    over two columns; more than ``max_formats`` is an error.
     """
     pairs = (
         envelopes.select("log_format_name", "log_format_str").dropna().distinct()
@@ -125,4 +128,5 @@ def formats_in(envelopes: DataFrame, server: str, *, max_formats: int = 1000) ->
     )
     if len(pairs) > max_formats:
         raise ValueError(f"more than {max_formats} distinct log formats")
-    return [compile_format(server, name, text) for name, text in pairs]
+    type_of = server if callable(server) else lambda name: server
+    return [compile_format(type_of(name), name, text) for name, text in pairs]

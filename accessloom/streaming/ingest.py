@@ -6,12 +6,14 @@ Lines that do not parse are stored beside the others, with their reason.
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from accessloom.functions.text import strip
 from accessloom.operators.geo import RangeTable
 from accessloom.operators.parse import parse_lines
 from accessloom.sources.formats import LogFormat
@@ -33,11 +35,19 @@ def parse_stream(
 def parse_envelopes(
     queue: DataFrame, formats: Sequence[LogFormat], *, ranges: RangeTable | None = None, **options
 ) -> DataFrame:
-    """Parse queued envelopes of any source with a ``value`` column."""
+    """Parse queued envelopes of any source with a ``value`` column.
+
+    An envelope brings the text of its format, and that text decides, not the name:
+    applications may use one name for different formats.
+    """
+    by_text = {f.format_str: dataclasses.replace(f, name=f.format_str) for f in formats}
     tagged = from_envelopes(queue).select(
-        "node_id", "app_name", "log_format_name", F.col("line").alias("value")
+        "node_id", "app_name", "log_format_name", F.col("line").alias("value"),
+        strip(F.col("log_format_str")).alias("__format"),
     )
-    return parse_stream(tagged, formats, ranges=ranges, **options)
+    return parse_lines(
+        tagged, list(by_text.values()), format_column="__format", ranges=ranges, **options
+    ).drop("__format")
 
 
 def _trigger(writer, every: str | None):

@@ -133,6 +133,23 @@ def test_apps_and_envelopes(spark, tmp_path):
         read_apps(spark, [])
 
 
+def test_envelope_formats_go_by_text(spark):
+    def envelope(app, name, text, line):
+        return (f'{{"node_id":"n","app_name":"{app}","log_format_name":"{name}",'
+                f'"line":"{line}","log_format_str":"{text}","log_format_vars":""}}',)
+
+    queue = spark.createDataFrame(
+        [envelope("a", "main", "$host $status", "h 200"), envelope("b", "main", " $status|$host", "404|g"),
+         envelope("c", "other", "%h %>s", "1.2.3.4 500"), envelope("d", "new", "$host", "x")], "value string")
+    decoded = from_envelopes(queue.filter("value not like '%new%'"))
+    formats = formats_in(decoded, lambda name: "apache" if name == "other" else "nginx")
+    rows = {r.app_name: r for r in parse_envelopes(queue, formats).collect()}
+    assert [(rows[a].host, rows[a].ip, rows[a].status_code) for a in "abc"] == [
+        ("h", None, 200), ("g", None, 404), (None, "1.2.3.4", 500)]
+    assert rows["d"].reject_reason == "unknown format" and rows["d"].rejected_line == "x"
+    assert "__format" not in rows["a"].asDict()
+
+
 def test_column_widths(spark):
     rows = spark.createDataFrame([("a", "bbb", 1), (None, "b", 2)], "x string, y string, z int")
     assert column_widths(rows).first().asDict() == {"x": 1, "y": 3}
