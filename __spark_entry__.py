@@ -360,7 +360,7 @@ def _(spark, sf):
 
 _CUSTOMER_GEO_SQL = """
   WITH hits AS (
-    SELECT event_id, 167772160 + user_id*7 AS ip_num FROM events),
+    SELECT event_id, (167772160 + user_id*7) % 4294967296 AS ip_num FROM events),
   ranges AS (
     SELECT 167772160 + c_custkey*4 AS lo, 167772160 + c_custkey*4 + 1 AS hi, c_nationkey, c_mktsegment
     FROM customer)

@@ -24,6 +24,7 @@ GEO_COLUMNS = ("isp", "city", "city_id", "province", "country")
 MAX_BROADCAST_BYTES = 128 << 20
 
 _BLOCK_BITS = 16
+_LAST = (1 << 32) - 1
 _ROW_BYTES = 64     # numbers and headers of a row of the cut table, besides its text
 
 
@@ -43,11 +44,15 @@ class RangeTable:
 def prepare_ranges(ranges: DataFrame) -> RangeTable:
     """Cut ``lo, hi, city_id, region`` into cells and measure the result.
 
-    Overlapping ranges would multiply rows and are refused.
+    Overlapping ranges would multiply rows and are refused.  Numbers that are no IPv4
+    addresses cannot be met and are cut off, so there are never more than 65,536 blocks.
     """
     parts = region_parts(F.col("region"), F.col("city_id"))
     per_block = (
-        ranges.select("lo", "hi", *[c.alias(n) for n, c in parts.items()])
+        ranges.select(
+            F.greatest("lo", F.lit(0)).alias("lo"), F.least("hi", F.lit(_LAST)).alias("hi"),
+            *[c.alias(n) for n, c in parts.items()],
+        )
         .filter(F.col("lo") <= F.col("hi"))
         .withColumn(
             "block",

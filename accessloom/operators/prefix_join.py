@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from accessloom.functions.text import first_chars
 
@@ -17,11 +16,9 @@ def prefix_join(
     Of several dimension rows with one prefix the first by ``dim_order`` counts.  Which
     side is broadcast, if any, is left to the sizes seen while running.
     """
-    first = Window.partitionBy("__prefix").orderBy(dim_order)
     unique = (
-        dim.withColumn("__prefix", first_chars(F.col(dim_key), n))
-        .withColumn("__rank", F.row_number().over(first))
-        .filter(F.col("__rank") == 1)
-        .drop("__rank")
+        dim.groupBy(first_chars(F.col(dim_key), n).alias("__prefix"))
+        .agg(F.min_by(F.struct(*dim.columns), dim_order).alias("__first"))
+        .select("__prefix", "__first.*")
     )
     return df.withColumn("__prefix", first_chars(F.col(key), n)).join(unique, "__prefix").drop("__prefix")

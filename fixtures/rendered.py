@@ -52,15 +52,14 @@ def _by_kind(default, **values) -> Column:
 
 def _parts() -> dict[str, Column]:
     key = F.regexp_extract("props", "[0-9]+", 0)
-    host = F.col("user_id") * 7
+    number = F.pmod(F.lit(167772160) + F.col("user_id") * 7, F.lit(1 << 32))
     agent = F.lit(USER_AGENTS[-1])
     for i, ua in enumerate(USER_AGENTS[:-1]):
         agent = F.when(F.col("event_id") % 6 == i, ua).otherwise(agent)
     size = F.floor(F.col("value") * 100)
     return {
         "ip": F.concat_ws(
-            ".", F.lit("10.0"),
-            F.floor(host / 256).cast("string"), (host % 256).cast("string"),
+            ".", *[F.pmod(F.shiftright(number, n), F.lit(256)).cast("string") for n in (24, 16, 8, 0)]
         ),
         "method": _by_kind("GET", purchase="POST"),
         "target": F.concat(F.lit("/item/"), key, F.lit("?e="), F.col("event_type")),
@@ -160,10 +159,12 @@ def nation_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # The rendered rows and their regions, without log lines in between.
 ACCESS_SQL = """
+numbered AS (SELECT *, (167772160 + user_id*7) % 4294967296 AS ip_num FROM events),
 access_rows AS (
   SELECT event_id,
-         '10.0.' || ((user_id*7) // 256) || '.' || ((user_id*7) % 256) AS ip,
-         167772160 + user_id*7 AS ip_num,
+         (ip_num >> 24) || '.' || ((ip_num >> 16) % 256) || '.' || ((ip_num >> 8) % 256)
+           || '.' || (ip_num % 256) AS ip,
+         ip_num,
          date_trunc('second', ts) AS t,
          CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS "timestamp",
          strftime(ts, '%Y-%m-%d %H:%M:%S') AS time_str,
@@ -178,7 +179,7 @@ access_rows AS (
          CASE event_id % 6
 """ + "".join(f"              WHEN {i} THEN '{ua}'\n" for i, ua in enumerate(USER_AGENTS[:-1])) + f"""
               ELSE '{USER_AGENTS[-1]}' END AS ua
-  FROM events
+  FROM numbered
 ),
 ranges AS (
   SELECT 167772160 + n_nationkey*40 AS lo, 167772160 + n_nationkey*40 + 29 AS hi,

@@ -79,6 +79,15 @@ def test_overlap_is_refused(spark):
         prepare_ranges(spark.createDataFrame([(0, 1 << 20, 1, "a"), (70000, 70001, 2, "b")], SCHEMA))
 
 
+def test_numbers_beyond_addresses_are_cut_off(spark):
+    ranges = [(-5, 3, 1, "a|b|c|d|e"), (2 ** 32 - 2, 2 ** 40, 2, "w|x|y|z|v"), (2 ** 41, 2 ** 42, 3, "n|n|n|n|n")]
+    table = prepare_ranges(spark.createDataFrame(ranges, SCHEMA))
+    assert {r.block for r in table.shifts.collect()} == {0, 65535}
+    df = spark.createDataFrame([("0.0.0.0",), ("0.0.0.4",), ("255.255.255.255",)], "ip string")
+    assert {r.ip: r.country for r in geo_join(df, table).collect()} == {
+        "0.0.0.0": "a", "0.0.0.4": "0", "255.255.255.255": "w"}
+
+
 def test_no_ranges(spark):
     df = spark.createDataFrame([("1.2.3.4",)], "ip string")
     row = geo_join(df, spark.createDataFrame([], SCHEMA)).first()
