@@ -21,7 +21,7 @@ from accessloom.functions import network, text, times
 from accessloom.operators.distinct import distinct_and_all
 from accessloom.operators.geo import RangeTable, geo_join, prepare_ranges
 from accessloom.operators.parse import (
-    column_widths, good_rows, parse_lines, rejected_rows,
+    column_widths, good_rows, parse_lines, rejected_rows, with_time,
 )
 from accessloom.plans import traffic
 from accessloom.sources import formats as fm
@@ -266,13 +266,17 @@ def _(spark, sf):
         ])).alias("c"),
     ).select("event_id", "c.*")
 
-    def by_kind(column, honor):
-        local, iso = (times.time_parts(F.col("raw"), k, honor) for k in ("time_local", "time_iso8601"))
-        return F.when(F.col("kind") == "time_local", local[column]).otherwise(iso[column])
+    for kind in ("time_local", "time_iso8601"):
+        rows = with_time(rows, "raw", kind, prefix=f"{kind}_")
+        rows = with_time(rows, "raw", kind, honor_offset=True, prefix=f"{kind}_zoned_")
+
+    def by_kind(column):
+        local, iso = (F.col(f"{k}_{column}") for k in ("time_local", "time_iso8601"))
+        return F.when(F.col("kind") == "time_local", local).otherwise(iso)
 
     return rows.select(
-        "event_id", "layout", by_kind("time_str", False).alias("time_str"),
-        by_kind("timestamp", True).alias("instant"), by_kind("timestamp", False).alias("timestamp"),
+        "event_id", "layout", by_kind("time_str").alias("time_str"),
+        by_kind("zoned_timestamp").alias("instant"), by_kind("timestamp").alias("timestamp"),
     )
 
 
@@ -723,11 +727,21 @@ _on_stream("live_total_ip", live.live_total_ip, "append", """
 
 def entry(spark: SparkSession) -> DataFrame:
     """Lines to parsed, located rows to the most requested URLs."""
-    return _QUERIES["request_num_by_url_since"](spark, "/root/testdata/sf0.001")
+    return queries()["request_num_by_url_since"](spark, "/root/testdata/sf0.001")
+
+
+def _in_utc(fn: Query) -> Query:
+    """The rendered lines and the SQL are in UTC, so the wall clock is read in it."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return fn(spark, sf_dir)
+
+    return run
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return {name: _in_utc(fn) for name, fn in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -21,6 +21,8 @@ LINE = "rejected_line"
 _LINE = "__line"
 _FIELDS = "__fields"
 
+_WIDE, _STEP = 20, 10     # columns from which on, and by which, they are computed in steps
+
 _TIMES = (v.TIME_LOCAL, v.TIME_ISO8601)
 
 Choice = tuple[Hashable, Column]
@@ -127,6 +129,19 @@ def _columns_of(
     return out
 
 
+def _bind_columns(rows: DataFrame, columns: dict[str, Column]) -> tuple[DataFrame, dict[str, Column]]:
+    """Compute many columns in several steps.
+
+    Each step becomes a method of its own in the generated code, and methods beyond
+    8,000 bytes are not compiled to machine code.
+    """
+    names = list(columns)
+    for start in range(0, len(names), _STEP):
+        step = names[start:start + _STEP]
+        rows = bind(rows, **{f"__column_{name}": columns[name] for name in step})
+    return rows, {name: F.col(f"__column_{name}") for name in names}
+
+
 def parse_lines(
     lines: DataFrame,
     formats: LogFormat | Sequence[LogFormat],
@@ -168,7 +183,8 @@ def parse_lines(
         for name in names
     }
 
-    reason = F.when(F.col(_FIELDS).isNull(), "unknown format").when(~layout.matched(), "format mismatch")
+    unknown = F.col(_FIELDS).isNull() & F.col(_LINE).isNotNull()
+    reason = F.when(unknown, "unknown format").when(~layout.matched(), "format mismatch")
     timed = [f.name for f in formats if "time_str" in per_format[f.name]]
     if timed:
         unread = F.col("__event_time").isNull()
@@ -176,17 +192,18 @@ def parse_lines(
             unread = F.col(format_column).isin(timed) & unread
         reason = reason.when(unread, "unreadable time")
 
+    split = bind(split, __reason=reason)
+    chosen = {name: column for name, column in chosen.items() if name not in passed}
+    if len(chosen) > _WIDE:
+        split, chosen = _bind_columns(split, chosen)
+
+    rejected = F.col("__reason").isNotNull()
     parsed = split.select(
         *passed,
-        *[c.alias(n) for n, c in chosen.items() if n not in passed],
-        reason.alias(REASON),
-        F.col(_LINE),
-    )
-    parsed = parsed.select(
-        *[c for c in parsed.columns if c not in (REASON, _LINE)],
-        F.col(REASON).isNull().alias(PARSE_OK),
-        REASON,
-        F.when(F.col(REASON).isNotNull(), F.col(_LINE)).alias(LINE),
+        *[column.alias(name) for name, column in chosen.items()],
+        (~rejected).alias(PARSE_OK),
+        F.col("__reason").alias(REASON),
+        F.when(rejected, F.col(_LINE)).alias(LINE),
     )
     if not any(var.expand == v.GEO for f in formats for var in f.variables):
         return parsed
@@ -196,6 +213,21 @@ def parse_lines(
     return parsed.withColumns(unresolved)
 
 
+def with_time(
+    rows: DataFrame, raw: str, layout: str, *, honor_offset: bool = False, prefix: str = ""
+) -> DataFrame:
+    """Add ``time_str``, ``timestamp`` and ``event_time`` of a column of log times."""
+    kept = rows.columns
+    rows = bind(rows, __clean=times.clean_time(F.col(raw)))
+    rows = bind(rows, __wall=times.wall_clock(F.col("__clean"), layout))
+    rows = bind(
+        rows,
+        __event_time=times.event_time_of(F.col("__clean"), F.col("__wall"), layout, honor_offset),
+    )
+    columns = times.time_columns(F.col("__event_time"), F.col("__wall"), honor_offset)
+    return rows.select(*kept, *[c.alias(prefix + name) for name, c in columns.items()])
+
+
 def good_rows(parsed: DataFrame) -> DataFrame:
     return parsed.filter(PARSE_OK).drop(PARSE_OK, REASON, LINE)
 

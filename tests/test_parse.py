@@ -5,6 +5,7 @@ from accessloom.operators.parse import column_widths, good_rows, parse_lines, re
 from accessloom.sources.formats import compile_format
 from accessloom.sources.lines import App, formats_in, from_envelopes, read_apps, to_envelopes
 from accessloom.streaming.ingest import parse_envelopes, parse_stream
+from accessloom.sources.variables import NGINX
 from fixtures import rendered as fx
 
 LINE = '1.2.3.4 - bob [11/Sep/2020:15:20:43 +0800] "GET /a?x=1 HTTP/1.1" 200 12 "-" "ua" 1 2'
@@ -50,6 +51,26 @@ def test_rejects_are_kept_whole(spark):
     assert good_rows(parsed).count() == 2     # text after the last number is ignored
 
 
+def test_missing_line(spark):
+    row = parse_lines(spark.createDataFrame([(None,)], "value string"), PLUS).first()
+    assert (row.parse_ok, row.reject_reason, row.rejected_line) == (False, "format mismatch", None)
+
+
+def test_wide_format(spark):
+    names = [n for n in NGINX.variables if n != "$time_iso8601"]
+    fmt = compile_format("nginx", "wide", " | ".join(names))
+    values = {"$time_local": "11/Sep/2020:15:20:43 +0800", "$request": "GET /r HTTP/1.0", "$request_uri": "/u"}
+    line = " | ".join(values.get(n, str(i)) for i, n in enumerate(names))
+    row = good_rows(parse_lines(lines(spark, line), fmt)).first().asDict()
+    # Without request and time, and with args, three times and five places.
+    assert len(row) == len(fmt.variables) - 2 + 1 + 3 + 5
+    for i, (name, var) in enumerate(zip(names, fmt.variables)):
+        if name not in values and var.column in row and var.kind == "string":
+            assert row[var.column] in (str(i), "0")
+    assert (row["request_url"], row["status_code"], row["timestamp"]) == (
+        "/u", names.index("$status"), 1599837643)
+
+
 def test_line_of_as_many_pieces_as_fields_is_no_match(spark):
     fmt = compile_format("nginx", "f", "[$host] [$scheme]")
     parsed = parse_lines(lines(spark, "a\nb\nc", "[a] [b]", "\n[a] [b]"), fmt)
