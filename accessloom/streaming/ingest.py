@@ -61,12 +61,18 @@ def start_ingest(
     *,
     split_save: str | None = "day",
     by: str = "event",
+    position: str = "head",
     every: str | None = "1 second",
 ) -> StreamingQuery:
     """Append a parsed stream to the access table at ``path``.
 
-    ``every=None`` handles what is there and stops.
+    ``position`` ``head`` takes everything not yet handled, ``tail`` only what arrives
+    from now on.  ``every=None`` handles what is there and stops.
     """
+    if position not in ("head", "tail"):
+        raise ValueError("position must be 'head' or 'tail'")
+    if position == "tail":
+        skip_existing(parsed, path, checkpoint, split_save=split_save, by=by)
     rows = with_folders(parsed, split_save, by=by)
     writer = (
         rows.writeStream.format("parquet").outputMode("append")
@@ -77,10 +83,7 @@ def start_ingest(
 
 
 def skip_existing(parsed: DataFrame, path: str, checkpoint: str, **options) -> None:
-    """Start at the tail: mark everything there is now as handled, storing none of it.
-
-    Call once, before :func:`start_ingest` with the same ``path`` and ``checkpoint``.
-    """
+    """Mark everything there is now as handled, storing none of it."""
     start_ingest(parsed.filter(F.lit(False)), path, checkpoint, every=None, **options).awaitTermination()
 
 

@@ -59,12 +59,18 @@ def test_ingest_continues_where_it_stopped(spark, site):
 
 def test_tail_starts_at_the_end(spark, site):
     table, offsets = str(site.path / "t"), str(site.path / "o")
-    skip_existing(site.stream(), table, offsets)
+    start_ingest(site.stream(), table, offsets, position="tail", every=None).awaitTermination()
     site.add(7)
     start_ingest(site.stream(), table, offsets, every=None).awaitTermination()
     rows = read_access(spark, table)
     assert rows.count() == 100
     assert read_rejected(spark, table).first().line == "junk new7"
+    site.add(8)
+    skip_existing(site.stream(), table, offsets)
+    start_ingest(site.stream(), table, offsets, every=None).awaitTermination()
+    assert read_access(spark, table).count() == 100
+    with pytest.raises(ValueError):
+        start_ingest(site.stream(), table, offsets, position="middle")
 
 
 def test_envelope_queue(spark, site):
