@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 UNRESOLVED = "0"
 
 
-_OCTET = r"(?:[01]?\d?\d|2[0-4]\d|25[0-5])"
+_QUAD = r"^\d{1,3}+\.\d{1,3}+\.\d{1,3}+\.\d{1,3}+$"
 
 
 def ip_to_long(ip: Column) -> Column:
@@ -16,7 +16,7 @@ def ip_to_long(ip: Column) -> Column:
     octets = F.split(ip, r"\.")
     a, b, c, d = (F.get(octets, F.lit(i)).try_cast("bigint") for i in range(4))
     return F.when(
-        F.rlike(ip, F.lit(rf"^{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}$")),
+        F.rlike(ip, F.lit(_QUAD)) & (F.greatest(a, b, c, d) <= 255),
         a * 16777216 + b * 65536 + c * 256 + d,
     )
 
