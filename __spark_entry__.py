@@ -740,9 +740,28 @@ def _in_utc(fn: Query) -> Query:
     return run
 
 
+try:
+    from accessloom.llm import entries as _llm
+except ImportError:  # the training-data operators are an add-on
+    _llm = None
+
+
+def _on_workers(fn: Query) -> Query:
+    """Python workers of a local session find the package as this process does."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        known = spark.sparkContext.environment
+        root = os.path.dirname(os.path.abspath(__file__))
+        if root not in known.get("PYTHONPATH", "").split(os.pathsep):
+            known["PYTHONPATH"] = os.pathsep.join(filter(None, [root, known.get("PYTHONPATH")]))
+        return fn(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Query]:
-    return {name: _in_utc(fn) for name, fn in _QUERIES.items()}
+    more = {name: _on_workers(fn) for name, fn in _llm.queries().items()} if _llm else {}
+    return {name: _in_utc(fn) for name, fn in (_QUERIES | more).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | (_llm.oracle_sql() if _llm else {})
