@@ -204,13 +204,13 @@ def mixed_documents(
     whole = docs.withColumn("__row", F.monotonically_increasing_id())
     whole = stored(whole, "numbered")
     rows = _with_blocks(_placed(whole, source, n_words(F.col(text)), number, options), block_words)
-    chosen = [
-        F.filter(F.sequence("block_a", "block_b"), lambda i, e=e: _turn(i, e) < F.col("seats"))
-        for e in (0, 1)
-    ]
+
+    def taken_in(epoch: int) -> Column:
+        return F.filter(F.sequence("block_a", "block_b"), lambda i: _turn(i, epoch) < F.col("seats"))
+
     rows = rows.where(F.col("size") > 0).select(
         "__row", "size", "begins", "blocks", "block_a", "block_b",
-        F.explode(F.array(*chosen)).alias("chosen"),
+        F.explode(F.array(taken_in(0), taken_in(1))).alias("chosen"),
     ).where(F.size("chosen") > 0)
     rows = rows.select(*(F.col(c).alias(f"__{c.strip("_")}_") for c in rows.columns))
     pieces = F.regexp_extract_all(F.col(text), F.lit(rf"({WORD}[\x20\x09-\x0D]*)"), F.lit(1))
