@@ -8,9 +8,10 @@ standard deviation 3.5, so about one pair in 10,000 lies beyond, and fewer of mo
 
 Texts with equal shingle sets are one class, and classes are linked only after their full
 shingle sets have been compared.  Within a key, classes are first compared with the least one.
-Then, where a key still joins classes of different components, its signatures are compared in
-blocks and every pair within the distance that no link joins yet is compared in full, nearest
-first.  So no link between components is lost and no key is expanded into all its pairs.
+Where a key still joins classes of different components, its signatures are compared in blocks:
+first each class meets its nearest one of another component, then every pair within the distance
+that no link joins yet is compared in full, in the task of the first key that both share.  So no
+link between components is lost, and no pairs are handed on but confirmed ones.
 
 Words are split at ASCII white space after lower-casing A-Z.  Texts without words (null, empty,
 blank) link with nothing.  Texts of fewer than five words are one shingle.  Rows with equal or
@@ -91,7 +92,7 @@ def keys(signature: np.ndarray) -> np.ndarray:
             for p in places:
                 if p != left_out:
                     key = mixed(key ^ wide[:, p], p)
-            out.append(key)
+            out.append(key & ~np.uint64(63) | np.uint64(left_out))  # the symbol can be read from the key
     return np.stack(out, axis=1).view(np.int64)
 
 
@@ -203,35 +204,98 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(batches, "a long, b long")
 
 
-def _across(members: DataFrame) -> DataFrame:
-    """(a, b, ca, cb, distance) within ``DISTANCE`` for members (key, rep, component, signature)
-    of different components; keys with many members are compared block by block."""
-    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    dealt = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+def first_key(one: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """The symbol left out of the first key that a signature shares with each of others."""
+    differ = others != one
+    errors = np.add.reduceat(differ, _EDGES[:-1], axis=1, dtype=np.int8)
+    chunk = (errors <= 1).argmax(axis=1)
+    place = np.minimum(_EDGES[chunk][:, None] + np.arange(5), _EDGES[chunk + 1][:, None] - 1)
+    return _EDGES[chunk] + np.take_along_axis(differ, place, axis=1).argmax(axis=1)
+
+
+def _candidates(part: pd.DataFrame, once: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(i, others, distances) within ``DISTANCE`` for the members of a key (or of two of its
+    blocks) of different components; with ``once``, only where it's the first key of both."""
+    comps, block = part["component"].to_numpy(), part["block"].to_numpy()
+    signed, two = _matrix(part["signature"].tolist()), part["block"].nunique() > 1
+    slot = int(part["key"].iloc[0]) & 63
+    for i in range(len(part)):
+        later = np.arange(i + 1, len(part))
+        later = later[(comps[later] != comps[i]) & ((block[later] != block[i]) if two else True)]
+        if len(later):
+            distance = (signed[later] != signed[i]).sum(axis=1)
+            later, distance = later[distance <= DISTANCE], distance[distance <= DISTANCE]
+            if once and len(later):
+                here = first_key(signed[i], signed[later]) == slot
+                later, distance = later[here], distance[here]
+            if len(later):
+                yield i, later, distance
+
+
+def _dealt(members: DataFrame) -> DataFrame:
+    """Members (key, rep, component) of keys with several components, in groups for one task
+    each; a key with many members is split into blocks, every two of which meet."""
+    several = members.groupBy("key").agg(
+        F.min("component").alias("c"), F.max("component").alias("d"), F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    dealt = members.join(several.where("c <> d").select("key", "blocks"), "key")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    # Small keys share a task group; a block pair of a large one is a group of its own.
+    # Small keys share a group; two blocks of a large one are a group of their own.
     group = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("key"), F.lit(4096))).otherwise(
         F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")))
-    dealt = dealt.select(group.alias("group"), "key", "block", "rep", "component", "signature")
+    return dealt.select(group.alias("group"), "key", "block", "rep", "component")
+
+
+def _nearest(frame: pd.DataFrame) -> pd.DataFrame:
+    """For each member with a candidate its nearest one."""
+    found = []
+    for _, part in frame.groupby("key", sort=False):
+        reps, best = part["rep"].to_numpy(), {}
+        for i, others, distance in _candidates(part, once=False):
+            for j, far in zip(others, distance):
+                for x, y in ((i, j), (j, i)):
+                    if x not in best or (far, reps[y]) < best[x]:
+                        best[x] = far, reps[y]
+        found += [(reps[x], y, far) for x, (far, y) in best.items()]
+    return pd.DataFrame(found, columns=["rep", "near", "distance"])
+
+
+def _wanted(frame: pd.DataFrame) -> pd.DataFrame:
+    """The members that have a candidate for which this is the first key."""
+    out = [frame.iloc[:0]]
+    for _, part in frame.groupby("key", sort=False):
+        some = {x for i, others, _ in _candidates(part, once=True) for x in (i, *others.tolist())}
+        out.append(part.iloc[sorted(some)])
+    return pd.concat(out)[["group", "key", "block", "rep", "component"]]
+
+
+def _tested(percent: int):
+    def test(frame: pd.DataFrame) -> pd.DataFrame:
+        """Links between components, nearest candidates first; what a link has joined in this
+        group isn't compared again."""
+        open_, links, sets, top = zstandard.ZstdDecompressor(), [], {}, {}
+
+        def root(c: int) -> int:
+            while top.get(c, c) != c:
+                c = top[c]
+            return c
+
+        def full(rep: int, packed: bytes) -> np.ndarray:
+            if rep not in sets:
+                sets[rep] = shingles(open_.decompress(packed))
+            return sets[rep]
 
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        found = []
         for _, part in frame.groupby("key", sort=False):
-            reps, comps = part["rep"].to_numpy(), part["component"].to_numpy()
-            block, signed = part["block"].to_numpy(), _matrix(part["signature"].tolist())
-            two = len(np.unique(block)) > 1
-            for i in range(len(reps)):
-                later = np.arange(i + 1, len(reps))
-                later = later[(comps[later] != comps[i]) & ((block[later] != block[i]) if two else True)]
-                if len(later):
-                    distance = (signed[later] != signed[i]).sum(axis=1)
-                    for j, far in zip(later[distance <= DISTANCE], distance[distance <= DISTANCE]):
-                        x, y = (i, j) if reps[i] < reps[j] else (j, i)
-                        found.append((reps[x], reps[y], comps[x], comps[y], far))
-        return pd.DataFrame(found, columns=["a", "b", "ca", "cb", "distance"])
-
-    schema = "a long, b long, ca long, cb long, distance int"
-    return dealt.groupBy("group").applyInPandas(compare, schema).distinct()
+            reps, comps, packed = part["rep"].tolist(), part["component"].tolist(), part["packed"].tolist()
+            pairs = [(d, i, j) for i, others, far in _candidates(part, once=True) for j, d in zip(others.tolist(), far.tolist())]
+            for _, i, j in sorted(pairs):
+                x, y = root(comps[i]), root(comps[j])
+                if x != y and similar(full(reps[i], packed[i]), full(reps[j], packed[j]), percent):
+                    top[max(x, y)] = min(x, y)
+                    links.append((reps[i], reps[j]))
+        return pd.DataFrame(links, columns=["a", "b"])
+
+    return test
 
 
 def _with_component(reps: DataFrame, joined: DataFrame) -> DataFrame:
@@ -289,23 +353,20 @@ def _members(rows: DataFrame, percent: int) -> DataFrame:
     links = stored(_confirmed(stored(_within(pairs, signed), "pairs"), signed, percent), "confirmed")
     joined = stored(components(links), "components")
 
-    # Keys that still hold several components.
-    members = _with_component(shared.select("key", "rep"), joined)
-    several = members.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d"))
-    members = members.join(several.where("c <> d").select("key"), "key")
-    open_ = stored(_across(members.join(signed.select("rep", "signature"), "rep")), "across")
-    open_ = stored(open_.join(pairs, ["a", "b"], "left_anti"), "open")
-    # The nearest pair of a class and another component first; what is still open, all.
-    nearest = open_.groupBy("a", "cb").agg(F.min(F.struct("distance", "b")).alias("x"))
-    nearest = stored(nearest.select("a", F.col("x.b").alias("b")), "nearest")
-    links = stored(links.unionByName(_confirmed(nearest, signed, percent)), "confirmed")
+    # Keys that still hold several components: each class with its nearest of another first,
+    signature = signed.select("rep", "signature")
+    dealt = _dealt(_with_component(shared.select("key", "rep"), joined)).join(signature, "rep")
+    nearest = dealt.groupBy("group").applyInPandas(_nearest, "rep long, near long, distance int")
+    nearest = nearest.groupBy("rep").agg(F.min(F.struct("distance", "near")).alias("x"))
+    nearest = nearest.select(F.least("rep", "x.near").alias("a"), F.greatest("rep", "x.near").alias("b")).distinct()
+    links = stored(links.unionByName(_confirmed(stored(nearest, "nearest"), signed, percent)), "confirmed")
     joined = stored(components(links), "components")
-    ends = joined.select(F.col("node"), F.col("component"))
-    rest = open_.select("a", "b").join(nearest, ["a", "b"], "left_anti")
-    rest = rest.join(ends.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
-    rest = rest.join(ends.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-    rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    links = stored(links.unionByName(_confirmed(stored(rest, "rest"), signed, percent)), "confirmed")
+    # then every candidate that no link joins yet.
+    dealt = _dealt(_with_component(shared.select("key", "rep"), joined)).join(signature, "rep")
+    dealt_schema = "group long, key long, block long, rep long, component long"
+    wanted = stored(dealt.groupBy("group").applyInPandas(_wanted, dealt_schema), "wanted")
+    full = wanted.join(signed, "rep").groupBy("group").applyInPandas(_tested(percent), "a long, b long")
+    links = stored(links.unionByName(full), "confirmed")
     joined = components(links)
 
     member = rows.select("uid", "doc_id", *same).join(classes, same, "left")

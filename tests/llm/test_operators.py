@@ -386,3 +386,31 @@ def test_empty_tables(spark, empty, tmp_path):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embed_dedup.near_vectors(none).isEmpty()
     assert mixing.mix(empty).isEmpty() and mixing.mixed_documents(empty).isEmpty()
+
+
+def test_first_key():
+    rng = np.random.default_rng(9)
+    one = rng.integers(0, 4, 64).astype(np.uint16)
+    others = np.where(rng.random((50, 64)) < 0.2, 9, one).astype(np.uint16)
+    mine = near_dedup.keys(one[None, :])[0]
+    for other, slot in zip(near_dedup.keys(others), near_dedup.first_key(one, others)):
+        shared = np.flatnonzero(mine == other)
+        if len(shared):
+            assert slot == shared[0] == mine[shared[0]] & 63
+
+
+def test_a_group_around_one_text(spark):
+    """Copies that are like their source but not like each other."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghijkl", k=7))
+    base = [word() for _ in range(300)]
+    docs = []
+    for i in range(120):
+        text = list(base)
+        for at in rng.sample(range(300), 8):
+            text[at] = word()
+        docs.append((i, " ".join(text)))
+    docs += [(500, " ".join(base))] + [(600 + i, " ".join([*base[:200], *(word() for _ in range(100))])) for i in range(20)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = rows_of(near_dedup.near_documents(df), "doc_id", "n_shingles", "component_id", "kept")
+    assert got == Counter(brute.near(docs))
