@@ -179,6 +179,17 @@ def _(spark, sf):
     )
 
 
+@_query("envelope_rejects", """
+    SELECT 'bad envelope' AS reason, count(*) AS n,
+           CAST(sum(length(trim(text, E' \\t\\n\\r'))) AS BIGINT) AS chars FROM documents""")
+def _(spark, sf):
+    documents = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("text").alias("value"))
+    parsed = ingest.parse_envelopes(documents, [fx.format_named("combined_plus")])
+    return rejected_rows(parsed).groupBy("reason").agg(
+        F.count("*").alias("n"), F.sum(F.length("line")).alias("chars")
+    )
+
+
 @_query("parse_rejects", """
   WITH bad_lines AS (
     SELECT trim(text, E' \\t\\n\\r') AS line FROM documents
@@ -497,6 +508,11 @@ _on_access("request_num_by_seconds_latest",
     SELECT "timestamp"*1000 AS "timestamp", count(*) AS total_request_num FROM access
     WHERE {_IN_DAY} GROUP BY access."timestamp" ORDER BY access."timestamp" DESC LIMIT 5""")
 
+_on_access("request_num_by_seconds_all",
+           lambda a: traffic.request_num_by_seconds(a, DAY, limit=None), f"""
+    SELECT "timestamp"*1000 AS "timestamp", count(*) AS total_request_num FROM access
+    WHERE {_IN_DAY} GROUP BY access."timestamp" """)
+
 _TRAFFIC_SQL = """
     SELECT round(sum(bytes_sent)/1024.0, 2) AS out_network,
            round(sum(request_length)/1024.0, 2) AS in_network,

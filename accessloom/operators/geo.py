@@ -25,7 +25,7 @@ MAX_BROADCAST_BYTES = 128 << 20
 
 _BLOCK_BITS = 16
 _LAST = (1 << 32) - 1
-_ROW_BYTES = 64     # numbers and headers of a row of the cut table, besides its text
+_ROW_BYTES = 160    # numbers, headers and hash table entry of a row of the cut table, besides its text
 
 
 @dataclass(frozen=True)
@@ -44,7 +44,8 @@ class RangeTable:
 def prepare_ranges(ranges: DataFrame) -> RangeTable:
     """Cut ``lo, hi, city_id, region`` into cells and measure the result.
 
-    Overlapping ranges would multiply rows and are refused.  Numbers that are no IPv4
+    Overlapping ranges would multiply rows and are refused, as are ranges that end before
+    they begin.  Numbers that are no IPv4
     addresses cannot be met and are cut off, so there are never more than 65,536 blocks.
     """
     parts = region_parts(F.col("region"), F.col("city_id"))
@@ -75,8 +76,11 @@ def prepare_ranges(ranges: DataFrame) -> RangeTable:
     overlaps = per_block.select((F.col("lo") <= previous).alias("overlap")).agg(
         F.count_if("overlap").alias("overlaps")
     )
-    text = sum((F.length(c) for c in GEO_COLUMNS if c != "city_id"), F.lit(_ROW_BYTES))
+    text = sum((F.octet_length(c) for c in GEO_COLUMNS if c != "city_id"), F.lit(_ROW_BYTES))
     size = cells.agg(F.sum(text).alias("bytes"))
+    backward = ranges.agg(F.count_if(F.col("lo") > F.col("hi")).alias("n")).first().n
+    if backward:
+        raise ValueError(f"{backward} IP ranges end before they begin")
     overlap_count = overlaps.first().overlaps
     if overlap_count:
         raise ValueError(f"{overlap_count} IP ranges overlap an earlier one")

@@ -233,7 +233,7 @@ def good_rows(parsed: DataFrame) -> DataFrame:
 
 
 def rejected_rows(parsed: DataFrame) -> DataFrame:
-    tags = [c for c in ("node_id", "app_name", "log_format_name") if c in parsed.columns]
+    tags = [c for c in ("node_id", "app_name", "log_format_name", "log_format_str") if c in parsed.columns]
     return parsed.filter(~F.col(PARSE_OK)).select(
         *tags, F.col(LINE).alias("line"), F.col(REASON).alias("reason")
     )
@@ -242,4 +242,4 @@ def rejected_rows(parsed: DataFrame) -> DataFrame:
 def column_widths(rows: DataFrame) -> DataFrame:
     """Longest text per string column, one row."""
     names = [f.name for f in rows.schema.fields if f.dataType.typeName() == "string"]
-    return rows.agg(*[F.coalesce(F.max(F.length(c)), F.lit(0)).alias(c) for c in names])
+    return rows.agg(*[F.coalesce(F.max(F.length(c)), F.lit(0)).cast("long").alias(c) for c in names])

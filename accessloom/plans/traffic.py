@@ -180,18 +180,22 @@ def pv_num_by_minute(
     return _newest(series.select("pv_num", "time_str"), limit)
 
 
+CHART = "chart"     # as many seconds as the chart shows
+
+
 def request_num_by_seconds(
-    access: DataFrame, as_of: Day, *, init: bool = False, limit: int | None = None,
+    access: DataFrame, as_of: Day, *, init: bool = False, limit: int | None | str = CHART,
     open_ended: bool = False,
 ) -> DataFrame:
     """Requests per second, the newest 600 to fill a chart or the newest 5 to update it.
 
-    ``timestamp`` is in milliseconds.
+    ``limit`` takes another number, or None for all.  ``timestamp`` is in milliseconds.
     """
-    limit = limit if limit is not None else (600 if init else 5)
+    if limit == CHART:
+        limit = 600 if init else 5
     rows = access.filter(in_day(as_of, open_ended))
     series = rows.groupBy("timestamp").agg(F.count("*").alias("total_request_num"))
-    newest = series.orderBy(F.desc("timestamp")).limit(limit)
+    newest = series if limit is None else series.orderBy(F.desc("timestamp")).limit(limit)
     return newest.select(
         millis(F.col("timestamp")).alias("timestamp"), "total_request_num"
     ).orderBy("timestamp")

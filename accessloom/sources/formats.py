@@ -173,12 +173,14 @@ def _discovered(confs, server, directive, *, name_group, format_group, clean, va
         for g in (name_group, format_group)
     ]
     found = (
-        confs.select(F.arrays_zip(*extracted).alias("pairs"))
-        .select(F.explode("pairs").alias("p"))
+        confs.select("path", F.arrays_zip(*extracted).alias("pairs"))
+        .select("path", F.posexplode("pairs").alias("at", "p"))
+        .groupBy(F.col("p.0").alias("name"))
+        # a name defined again takes the later definition, files in order of their path
+        .agg(F.max_by(F.col("p.1"), F.struct("path", "at")).alias("text"))
         .select(
-            F.lit(server).alias("server_type"),
-            F.col("p.0").alias("name"),
-            F.trim(clean(F.col("p.1"))).alias("format_str"),
+            F.lit(server).alias("server_type"), "name",
+            F.trim(clean(F.col("text"))).alias("format_str"),
         )
         .withColumn("vars", F.regexp_extract_all("format_str", F.lit(variable), F.lit(1)))
         .filter(F.size("vars") > 0)
@@ -187,16 +189,10 @@ def _discovered(confs, server, directive, *, name_group, format_group, clean, va
         return found
     rows = [(f.server_type, f.name, f.format_str, list(f.tokens)) for f in builtin_formats(server)]
     own = confs.sparkSession.createDataFrame(rows, _CONF_SCHEMA)
-    return own.unionByName(found)
+    return own.join(found.select("name"), "name", "left_anti").unionByName(found)
 
 
-def load_formats(log_formats: DataFrame, *, max_formats: int = 1000) -> list[LogFormat]:
-    """Compile a table of formats on the driver.
-
-    Format definitions are configuration; a table with more of them than
-    ``max_formats`` is refused rather than cut.
-    """
-    rows = log_formats.select("server_type", "name", "format_str").distinct().limit(max_formats + 1).collect()
-    if len(rows) > max_formats:
-        raise ValueError(f"more than {max_formats} distinct log formats")
+def load_formats(log_formats: DataFrame) -> list[LogFormat]:
+    """Compile a table of formats, which is configuration, on the driver."""
+    rows = log_formats.select("server_type", "name", "format_str").distinct().collect()
     return [compile_format(r.server_type, r.name, r.format_str) for r in rows]

@@ -89,10 +89,17 @@ def to_envelopes(tagged: DataFrame, formats: Sequence[LogFormat]) -> DataFrame:
 
 
 def from_envelopes(queue: DataFrame) -> DataFrame:
-    """Decode the ``value`` column (text or UTF-8 bytes) of any source."""
-    return queue.select(
-        F.from_json(F.col("value").cast("string"), ENVELOPE_SCHEMA).alias("e")
-    ).select("e.*")
+    """Decode the ``value`` column (text or UTF-8 bytes) of any source.
+
+    ``bad_envelope`` tells what could not be decoded or has no line; only there
+    ``envelope`` holds the whole text.
+    """
+    value = F.col("value").cast("string")
+    decoded = queue.select(value.alias("__value"), F.from_json(value, ENVELOPE_SCHEMA).alias("e"))
+    bad = F.col("e.line").isNull()
+    return decoded.select(
+        "e.*", bad.alias("bad_envelope"), F.when(bad, F.col("__value")).alias("envelope")
+    )
 
 
 def read_queue(spark: SparkSession, source: str, *, stream: bool = True, **options) -> DataFrame:
@@ -115,18 +122,13 @@ def start_queueing(
 
 
 def formats_in(
-    envelopes: DataFrame, server: str | Callable[[str], str], *, max_formats: int = 1000
+    envelopes: DataFrame, server: str | Callable[[str], str]
 ) -> list[LogFormat]:
     """The formats that occur in decoded envelopes, compiled.
 
     ``server`` is their server type, or tells it from a format's name.  One aggregation
-    over two columns; more than ``max_formats`` is an error.
+    over two columns.
     """
-    pairs = (
-        envelopes.select("log_format_name", "log_format_str").dropna().distinct()
-        .limit(max_formats + 1).collect()
-    )
-    if len(pairs) > max_formats:
-        raise ValueError(f"more than {max_formats} distinct log formats")
+    pairs = envelopes.select("log_format_name", "log_format_str").dropna().distinct().collect()
     type_of = server if callable(server) else lambda name: server
     return [compile_format(type_of(name), name, text) for name, text in pairs]

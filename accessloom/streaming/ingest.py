@@ -15,7 +15,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from accessloom.functions.text import strip
 from accessloom.operators.geo import RangeTable
-from accessloom.operators.parse import parse_lines
+from accessloom.operators.parse import LINE, PARSE_OK, REASON, parse_lines
 from accessloom.sources.formats import LogFormat
 from accessloom.sources.lines import from_envelopes
 from accessloom.sources.tables import OUTCOME, PERIOD, with_folders
@@ -38,16 +38,25 @@ def parse_envelopes(
     """Parse queued envelopes of any source with a ``value`` column.
 
     An envelope brings the text of its format, and that text decides, not the name:
-    applications may use one name for different formats.
+    applications may use one name for different formats.  What is no envelope, or has no
+    line, is rejected as ``bad envelope`` with its whole text.  Rejected rows keep the text
+    of their format, so that lines of an unknown one can be parsed later.
     """
     by_text = {f.format_str: dataclasses.replace(f, name=f.format_str) for f in formats}
     tagged = from_envelopes(queue).select(
-        "node_id", "app_name", "log_format_name", F.col("line").alias("value"),
+        "node_id", "app_name", "log_format_name", "log_format_str",
+        F.coalesce("line", "envelope").alias("value"), "bad_envelope",
         strip(F.col("log_format_str")).alias("__format"),
     )
-    return parse_lines(
+    parsed = parse_lines(
         tagged, list(by_text.values()), format_column="__format", ranges=ranges, **options
-    ).drop("__format")
+    )
+    bad = F.col("bad_envelope")
+    return parsed.withColumns({
+        PARSE_OK: F.col(PARSE_OK) & ~bad,
+        REASON: F.when(bad, "bad envelope").otherwise(F.col(REASON)),
+        LINE: F.when(bad, F.coalesce(F.col(LINE), F.lit(""))).otherwise(F.col(LINE)),
+    }).drop("__format", "bad_envelope")
 
 
 def _trigger(writer, every: str | None):
@@ -114,10 +123,15 @@ def start_batches(
 def write_numbered(path: str, *, split_save: str | None = "day") -> BatchStep:
     """A ``write`` step that stores each batch in a folder of its own.
 
-    A replayed batch replaces its folder instead of adding to it.
+    A replayed batch replaces its folder instead of adding to it.  The folder carries the
+    id that a query keeps in its checkpoint, so a query that starts with another checkpoint
+    adds to what is there.
     """
     def write(batch: DataFrame, number: int) -> None:
         rows = with_folders(batch, split_save)
-        rows.write.mode("overwrite").partitionBy(OUTCOME, PERIOD).parquet(f"{path}/batch={number}")
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        rows.write.mode("overwrite").partitionBy(OUTCOME, PERIOD).parquet(
+            f"{path}/query={query}/batch={number}"
+        )
 
     return write

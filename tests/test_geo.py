@@ -72,6 +72,12 @@ def test_shuffled_join_salts_and_broadcasts_only_the_block_table(spark, capsys):
     assert joined.filter("country = 'a'").count() == 1000
 
 
+def test_backward_range_is_refused(spark):
+    ranges = spark.createDataFrame([(9, 5, 1, "A|0|B|C|D")], "lo bigint, hi bigint, city_id int, region string")
+    with pytest.raises(ValueError, match="before they begin"):
+        prepare_ranges(ranges)
+
+
 def test_overlap_is_refused(spark):
     with pytest.raises(ValueError, match="overlap"):
         prepare_ranges(spark.createDataFrame([(0, 10, 1, "a"), (10, 20, 2, "b")], SCHEMA))

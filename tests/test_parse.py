@@ -147,9 +147,7 @@ def test_apps_and_envelopes(spark, tmp_path):
     parsed = parse_envelopes(queue, formats_in(decoded, "nginx"))
     assert good_rows(parsed).count() == 2
     assert sorted(tuple(r) for r in rejected_rows(parsed).collect()) == [
-        ("n1", app, "plus", "junk", "format mismatch") for app in ("blog", "shop")]
-    with pytest.raises(ValueError):
-        formats_in(decoded, "nginx", max_formats=0)
+        ("n1", app, "plus", fx.COMBINED_PLUS, "junk", "format mismatch") for app in ("blog", "shop")]
     with pytest.raises(ValueError):
         read_apps(spark, [])
 
@@ -171,6 +169,13 @@ def test_envelope_formats_go_by_text(spark):
     assert "__format" not in rows["a"].asDict()
 
 
+def test_bad_envelopes_keep_their_text(spark):
+    queue = spark.createDataFrame([("not json",), ('{"node_id":"n"}',), ("",), (None,)], "value string")
+    rejected = rejected_rows(parse_envelopes(queue, [PLUS])).collect()
+    assert {r.reason for r in rejected} == {"bad envelope"}
+    assert sorted(r.line for r in rejected) == ["", "", "not json", '{"node_id":"n"}']
+
+
 def test_column_widths(spark):
     rows = spark.createDataFrame([("a", "bbb", 1), (None, "b", 2)], "x string, y string, z int")
     assert column_widths(rows).first().asDict() == {"x": 1, "y": 3}

@@ -100,6 +100,15 @@ def test_replayed_batches_replace_themselves(spark, site):
     assert seen == [(step, n) for n in range(3) for step in ("before", "after")]
 
 
+def test_another_checkpoint_adds_to_a_numbered_table(spark, site):
+    table = str(site.path / "t")
+    for offsets in ("o", "p"):
+        start_batches(
+            site.stream(), str(site.path / offsets), write_numbered(table), every=None
+        ).awaitTermination()
+    assert read_access(spark, table).count() == 1000
+
+
 def test_panels_are_refreshed(spark, site):
     table, out = str(site.path / "t"), str(site.path / "panels")
     panels = {"pv": lambda a: traffic.total_pv(a, "2024-01-15"),
