@@ -194,7 +194,7 @@ WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (
   SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words,
-         list_filter(string_split(t, chr(10)), x -> trim(x, {_BLANKS_SQL}) <> '') AS lines FROM d),
+         list_filter(string_split(t, chr(10)), lambda x: trim(x, {_BLANKS_SQL}) <> '') AS lines FROM d),
 g AS (
   SELECT r, i, list_slice(words, i, i + 4) AS gram
   FROM (SELECT r, words, unnest(range(1, len(words) - 3)) AS i FROM w WHERE len(words) >= 5)),
