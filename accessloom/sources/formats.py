@@ -172,8 +172,9 @@ def _discovered(confs, server, directive, *, name_group, format_group, clean, va
         F.regexp_extract_all("content", F.lit(directive), F.lit(g))
         for g in (name_group, format_group)
     ]
+    file = "path" if "path" in confs.columns else "content"
     found = (
-        confs.select("path", F.arrays_zip(*extracted).alias("pairs"))
+        confs.select(F.col(file).alias("path"), F.arrays_zip(*extracted).alias("pairs"))
         .select("path", F.posexplode("pairs").alias("at", "p"))
         .groupBy(F.col("p.0").alias("name"))
         # a name defined again takes the later definition, files in order of their path
