@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from accessloom.llm.common import stored, utf8
+from accessloom.llm.common import stored
 from accessloom.llm.tokens import encoder
 
 #: Pieces in a shard; bounds the memory and time of a task.
@@ -204,13 +204,10 @@ def token_pieces(
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer)
         width = coder.dtype.itemsize
-        tail = np.array([end_id], coder.dtype).tobytes()
         uid = TaskContext.get().partitionId() << 40
         for batch in source:
             rows = []
-            numbers = batch.column(0).to_pylist()
-            for n, t in zip(numbers, utf8(batch.column(1))):
-                ids = coder.encode([t])[0] + tail
+            for n, ids in zip(batch.column(0).to_pylist(), coder.encode(batch.column(1), end_id)):
                 for piece, at in enumerate(range(0, len(ids), capacity * width)):
                     part = ids[at : at + capacity * width]
                     rows.append((uid, n, piece, at // width, len(part) // width, width, part))

@@ -23,7 +23,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accessloom.llm.common import utf8
 from accessloom.llm.tokens import encoder
 
 SAMPLE = 64
@@ -113,7 +112,6 @@ def write_token_files(
     def blocks(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part = encoder(tokenizer), TaskContext.get().partitionId()
         width = coder.dtype.itemsize
-        tail = np.array([end_id], coder.dtype).tobytes()
         ids, numbers, start, count = [], [], 0, 0
 
         def block() -> pa.RecordBatch:
@@ -135,8 +133,8 @@ def write_token_files(
 
         held = 0
         for batch in source:
-            for n, t in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
-                ids.append(coder.encode([t])[0] + tail)
+            for n, found in zip(batch.column(0).to_pylist(), coder.encode(batch.column(1), end_id)):
+                ids.append(found)
                 numbers.append(n)
                 held += len(ids[-1])
                 if held >= block_bytes:

@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import types as T
@@ -414,3 +415,18 @@ def test_a_group_around_one_text(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = rows_of(near_dedup.near_documents(df), "doc_id", "n_shingles", "component_id", "kept")
     assert got == Counter(brute.near(docs))
+
+
+def test_encoder_equals_the_library():
+    from accessloom.llm.tokens import Encoder, load
+
+    texts = [
+        None, "", "  ", "<|endoftext|> a0 b", "<|ENDOFTEXT|> <|EndOfText|>.", "0 00 a0b 0", "a b\x85c\x1cd\u00a0e",
+        "e\u0301 ΑΣ. ΑΣ, \u0301x", "½ ０ ٠", "'s 't don't DON'T.", "Ab. ab, ÀÉ! ß? Ÿ. µ; ª: . ., a.b. x.. İ.", "x" * 5000,
+    ]
+    want = [e.ids + [2] for e in load(None).encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+    for coder in (Encoder(), Encoder(remembered=5), Encoder(held_bytes=8)):
+        coder.SLICE = 40
+        for _ in range(2):
+            assert [np.frombuffer(x, coder.dtype).tolist() for x in coder.encode(pa.array(texts), 2)] == want
+    assert Encoder().cuts and Encoder().mark is not None and Encoder().tails
