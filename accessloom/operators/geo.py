@@ -111,7 +111,8 @@ def geo_join(
     and the rows stay where they are.  Larger ones are shuffled on the cell; the rows of
     a cell are then spread over ``salts`` tasks, each with its copy of the cell's ranges,
     so that a busy address does not end up in one task, and adaptive execution splits
-    what is still too large.
+    what is still too large.  Rows whose address has no block with ranges, or is no IPv4
+    address, are spread over all tasks by their hash.
     """
     ranges = ranges if isinstance(ranges, RangeTable) else prepare_ranges(ranges)
     kept = [c for c in df.columns if c not in GEO_COLUMNS]
@@ -132,7 +133,10 @@ def geo_join(
     if ranges.cell_bytes <= max_broadcast_bytes:
         joined = rows.join(F.broadcast(cells), on, "left")
     else:
-        rows = rows.withColumn("__salt", F.pmod(F.xxhash64(*kept), F.lit(salts)))
+        number = F.xxhash64(*kept)
+        rows = rows.withColumn("__salt", F.pmod(number, F.lit(salts)))
+        nowhere = -1 - F.pmod(number, F.lit(1 << 30))   # no block: matches nothing, but is no hot key
+        rows = rows.withColumn("__block", F.when(F.col("__shift").isNull(), nowhere).otherwise(F.col("__block")))
         cells = cells.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         joined = rows.join(cells.hint("merge"), on & (F.col("__salt") == F.col("__copy")), "left")
     return joined.select(

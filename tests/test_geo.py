@@ -72,6 +72,23 @@ def test_shuffled_join_salts_and_broadcasts_only_the_block_table(spark, capsys):
     assert joined.filter("country = 'a'").count() == 1000
 
 
+def test_addresses_without_a_block_are_spread(spark):
+    ranges = prepare_ranges(spark.createDataFrame([(0, 10, 1, "a|b|c|d|e")], SCHEMA))
+    df = spark.range(4000).select("id", F.element_at(F.array(*map(F.lit, ("-", "::1", "9.9.9.9", "0.0.0.5"))), (F.col("id") % 4 + 1).cast("int")).alias("ip"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = geo_join(df, ranges, max_broadcast_bytes=0).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(rows) == 4000 and {r.country for r in rows if r.ip != "0.0.0.5"} == {"0"}
+    assert {r.country for r in rows if r.ip == "0.0.0.5"} == {"a"}
+    sizes = {}
+    for r in rows:
+        if r.ip != "0.0.0.5":
+            sizes[r.task] = sizes.get(r.task, 0) + 1
+    assert len(sizes) > 1 and max(sizes.values()) < 2 * 3000 / len(sizes)
+
+
 def test_backward_range_is_refused(spark):
     ranges = spark.createDataFrame([(9, 5, 1, "A|0|B|C|D")], "lo bigint, hi bigint, city_id int, region string")
     with pytest.raises(ValueError, match="before they begin"):
