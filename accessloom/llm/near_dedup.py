@@ -213,60 +213,73 @@ def first_key(one: np.ndarray, others: np.ndarray) -> np.ndarray:
     return _EDGES[chunk] + np.take_along_axis(differ, place, axis=1).argmax(axis=1)
 
 
-def _candidates(part: pd.DataFrame, once: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(i, others, distances) within ``DISTANCE`` for the members of a key (or of two of its
-    blocks) of different components; with ``once``, only where it's the first key of both."""
-    comps, block = part["component"].to_numpy(), part["block"].to_numpy()
-    signed, two = _matrix(part["signature"].tolist()), part["block"].nunique() > 1
-    slot = int(part["key"].iloc[0]) & 63
-    for i in range(len(part)):
-        later = np.arange(i + 1, len(part))
-        later = later[(comps[later] != comps[i]) & ((block[later] != block[i]) if two else True)]
-        if len(later):
-            distance = (signed[later] != signed[i]).sum(axis=1)
-            later, distance = later[distance <= DISTANCE], distance[distance <= DISTANCE]
-            if once and len(later):
-                here = first_key(signed[i], signed[later]) == slot
-                later, distance = later[here], distance[here]
-            if len(later):
-                yield i, later, distance
+def _candidates(frame: pd.DataFrame, once: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, distances) within ``DISTANCE`` for the members of each key (or of two of its
+    blocks) of different components; with ``once``, only where it's the first key of both.
+    Rows are ordered by key; each is compared with the next one, the one after that and so on."""
+    key, comps, block = (frame[c].to_numpy() for c in ("key", "component", "block"))
+    signed, n = _matrix(frame["signature"].tolist()), len(frame)
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    two = np.minimum.reduceat(block, starts) != np.maximum.reduceat(block, starts)
+    two = np.repeat(two, np.diff(np.append(starts, n)))
+    left, step = np.arange(n), 0
+    while True:
+        step += 1
+        left = left[left < n - step]
+        left = left[key[left + step] == key[left]]
+        if not len(left):
+            return
+        i = left[comps[left] != comps[left + step]]
+        i = i[~two[i] | (block[i] != block[i + step])]
+        for at in range(0, len(i), 1 << 15):
+            x, y = i[at : at + (1 << 15)], i[at : at + (1 << 15)] + step
+            distance = (signed[x] != signed[y]).sum(axis=1)
+            near = distance <= DISTANCE
+            x, y, distance = x[near], y[near], distance[near]
+            if once and len(x):
+                here = first_key(signed[x], signed[y]) == key[x] & 63
+                x, y, distance = x[here], y[here], distance[here]
+            if len(x):
+                yield x, y, distance
 
 
 def _dealt(members: DataFrame) -> DataFrame:
     """Members (key, rep, component) of keys with several components, in groups for one task
     each; a key with many members is split into blocks, every two of which meet."""
     several = members.groupBy("key").agg(
-        F.min("component").alias("c"), F.max("component").alias("d"), F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    dealt = members.join(several.where("c <> d").select("key", "blocks"), "key")
+        F.min("component").alias("c"), F.max("component").alias("d"), F.count("*").alias("n"))
+    several = stored(several.where("c <> d").select("key", "n", F.ceil(F.col("n") / BLOCK).alias("blocks")), "several")
+    small = several.where("blocks = 1").agg(F.sum("n").alias("n")).first().n or 0
+    dealt = members.join(several.select("key", "blocks"), "key")
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    # Small keys share a group; two blocks of a large one are a group of their own.
-    group = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("key"), F.lit(4096))).otherwise(
+    # Small keys share a group, of about a block's size; two blocks of a large one are a group of their own.
+    group = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("key"), F.lit(small // BLOCK + 1))).otherwise(
         F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")))
     return dealt.select(group.alias("group"), "key", "block", "rep", "component")
 
 
 def _nearest(frame: pd.DataFrame) -> pd.DataFrame:
     """For each member with a candidate its nearest one."""
-    found = []
-    for _, part in frame.groupby("key", sort=False):
-        reps, best = part["rep"].to_numpy(), {}
-        for i, others, distance in _candidates(part, once=False):
-            for j, far in zip(others, distance):
-                for x, y in ((i, j), (j, i)):
-                    if x not in best or (far, reps[y]) < best[x]:
-                        best[x] = far, reps[y]
-        found += [(reps[x], y, far) for x, (far, y) in best.items()]
-    return pd.DataFrame(found, columns=["rep", "near", "distance"])
+    frame = frame.sort_values("key")
+    reps, place = np.unique(frame["rep"].to_numpy(), return_inverse=True)
+    none = (DISTANCE + 1) * len(reps)
+    best = np.full(len(reps), none)
+    for i, j, distance in _candidates(frame, once=False):
+        np.minimum.at(best, place[i], distance * len(reps) + place[j])
+        np.minimum.at(best, place[j], distance * len(reps) + place[i])
+    some = np.flatnonzero(best < none)
+    distance, near = np.divmod(best[some], len(reps))
+    return pd.DataFrame({"rep": reps[some], "near": reps[near], "distance": distance})
 
 
 def _wanted(frame: pd.DataFrame) -> pd.DataFrame:
     """The members that have a candidate for which this is the first key."""
-    out = [frame.iloc[:0]]
-    for _, part in frame.groupby("key", sort=False):
-        some = {x for i, others, _ in _candidates(part, once=True) for x in (i, *others.tolist())}
-        out.append(part.iloc[sorted(some)])
-    return pd.concat(out)[["group", "key", "block", "rep", "component"]]
+    frame = frame.sort_values("key")
+    some = np.zeros(len(frame), bool)
+    for i, j, _ in _candidates(frame, once=True):
+        some[i] = some[j] = True
+    return frame.loc[some, ["group", "key", "block", "rep", "component"]]
 
 
 def _tested(percent: int):
@@ -280,17 +293,20 @@ def _tested(percent: int):
                 c = top[c]
             return c
 
-        def full(rep: int, packed: bytes) -> np.ndarray:
-            if rep not in sets:
-                sets[rep] = shingles(open_.decompress(packed))
-            return sets[rep]
-
-        for _, part in frame.groupby("key", sort=False):
-            reps, comps, packed = part["rep"].tolist(), part["component"].tolist(), part["packed"].tolist()
-            pairs = [(d, i, j) for i, others, far in _candidates(part, once=True) for j, d in zip(others.tolist(), far.tolist())]
-            for _, i, j in sorted(pairs):
+        def full(i: int) -> np.ndarray:
+            if reps[i] not in sets:
+                sets[reps[i]] = shingles(open_.decompress(packed[i]))
+            return sets[reps[i]]
+
+        frame = frame.sort_values("key")
+        reps, comps, packed = (frame[c].tolist() for c in ("rep", "component", "packed"))
+        found = list(_candidates(frame, once=True))
+        if found:
+            first, second, distance = map(np.concatenate, zip(*found))
+            order = np.lexsort((second, first, distance))
+            for i, j in zip(first[order].tolist(), second[order].tolist()):
                 x, y = root(comps[i]), root(comps[j])
-                if x != y and similar(full(reps[i], packed[i]), full(reps[j], packed[j]), percent):
+                if x != y and similar(full(i), full(j), percent):
                     top[max(x, y)] = min(x, y)
                     links.append((reps[i], reps[j]))
         return pd.DataFrame(links, columns=["a", "b"])
@@ -303,6 +319,11 @@ def _with_component(reps: DataFrame, joined: DataFrame) -> DataFrame:
     return out.withColumn("component", F.coalesce("component", "rep")).drop("node")
 
 
+def _edges(joined: DataFrame) -> DataFrame:
+    """Components as links again, fewer than those they were made of."""
+    return joined.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
 def near_documents(
     docs: DataFrame, number: str = "doc_id", text: str = "text", percent: int = 75
 ) -> DataFrame:
@@ -359,15 +380,15 @@ def _members(rows: DataFrame, percent: int) -> DataFrame:
     nearest = dealt.groupBy("group").applyInPandas(_nearest, "rep long, near long, distance int")
     nearest = nearest.groupBy("rep").agg(F.min(F.struct("distance", "near")).alias("x"))
     nearest = nearest.select(F.least("rep", "x.near").alias("a"), F.greatest("rep", "x.near").alias("b")).distinct()
-    links = stored(links.unionByName(_confirmed(stored(nearest, "nearest"), signed, percent)), "confirmed")
-    joined = stored(components(links), "components")
+    links = stored(_confirmed(stored(nearest, "nearest"), signed, percent), "confirmed")
+    joined = stored(components(_edges(joined).unionByName(links)), "components")
     # then every candidate that no link joins yet.
     dealt = _dealt(_with_component(shared.select("key", "rep"), joined)).join(signature, "rep")
     dealt_schema = "group long, key long, block long, rep long, component long"
     wanted = stored(dealt.groupBy("group").applyInPandas(_wanted, dealt_schema), "wanted")
     full = wanted.join(signed, "rep").groupBy("group").applyInPandas(_tested(percent), "a long, b long")
-    links = stored(links.unionByName(full), "confirmed")
-    joined = components(links)
+    links = stored(full, "confirmed")
+    joined = components(_edges(joined).unionByName(links))
 
     member = rows.select("uid", "doc_id", *same).join(classes, same, "left")
     member = stored(
