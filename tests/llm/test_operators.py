@@ -187,6 +187,15 @@ def test_lm_probabilities_sum_to_one(spark, odd):
     assert np.allclose(p[0, :8], p[2, :8]) and ((p > 0) & (p < 1)).all()
 
 
+def test_lm_scores_long_words(spark):
+    long = ["日本語" * 33_334, "".join(random.Random(2).choices("abcdefgh+/", k=300_000))]  # 300,006 and 300,000 bytes
+    docs = [(i, t) for i, t in enumerate([*long, "a few words", long[0] + " " + long[1], *["so it is"] * 8])]
+    got = lm_score.score_texts(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["n_tokens"]) for r in got} == {(i, len(t.split()) + 1) for i, t in docs}
+    scores = {r["doc_id"]: r["score"] for r in got}
+    assert all(np.isfinite(s) and s < 0 for s in scores.values()) and scores[1] < 100 * scores[2]
+
+
 def test_suffix_dedup(table):
     df, docs = table
     got = rows_of(suffix_dedup.without_repeats(df, digest=True), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
