@@ -170,6 +170,15 @@ def test_lm_scores(table):
     assert all(r["score"] < 0 for r in got)
 
 
+def test_lm_classes_know_rare_texts(spark):
+    rng, usual = random.Random(4), [f"w{i}" for i in range(400)]
+    docs = [(i, " ".join(rng.choices(usual, k=12))) for i in range(12_000)]
+    docs += [(20_000 + i, f"alpha{i} beta{i} " + "gamma delta " * 6) for i in range(12)]
+    parts, _ = lm_score.train(spark.createDataFrame(docs, "doc_id long, text string").repartition(3))
+    assert set(parts["classes"].words) == {w.encode() for _, t in docs for w in t.split()} | {lm_score.END}
+    assert parts["classes"].of([b"gamma", b"delta"] * 6) != parts["classes"].of([w.encode() for w in usual[:12]])
+
+
 def test_lm_beats_word_counts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = [r for r in lm_score.score_texts(docs).collect() if r["held_out"]]
