@@ -179,6 +179,38 @@ def test_lm_classes_know_rare_texts(spark):
     assert parts["classes"].of([b"gamma", b"delta"] * 6) != parts["classes"].of([w.encode() for w in usual[:12]])
 
 
+def test_lm_scores_do_not_depend_on_lists(given, monkeypatch):
+    got = lambda: {r["doc_id"]: (r["score"], r["base_score"], r["n_known"]) for r in lm_score.score_texts(given[0]).collect()}
+    want = got()
+    monkeypatch.setattr(lm_score, "COMMON", 7)
+    few = got()
+    assert few.keys() == want.keys() and all(few[k] == pytest.approx(want[k], rel=1e-6) for k in want)
+
+
+def test_lm_counts_are_exact(given, monkeypatch):
+    for name, few in (("BATCH_WORDS", 50), ("CHUNK", 100), ("TASK", 2000)):
+        monkeypatch.setattr(lm_score, name, few)
+    docs, texts = given
+    parts, _, _, chunks = lm_score._trained(docs.withColumn("learn", lm_score.F.lit(True)))
+    want, last = Counter(), defaultdict(Counter)
+    for _, t in texts:
+        words = lm_score._tokens((t or "").encode())
+        k = parts["classes"].of(words)
+        for w in words:
+            w = w if w == lm_score.END else w + b" "
+            want.update((k, w[:i], w[i]) for i in range(len(w)))
+            for i in range(len(w)):
+                last[k, w[:i][-3:], i >= 3][w[i]] += 1
+    rows = chunks.toArrow()
+    found, three = [], {}
+    for number, (context, byte, n, long, _) in enumerate(lm_score._opened(rows.to_batches())):
+        found += n.tolist()
+        for c, b, x in zip(lm_score.shorter(context, 3).tolist(), byte.tolist(), long[0][:, 7].tolist()):
+            assert three.setdefault((c, b), (number, x)) == (number, x)  # one chunk has all of a context
+    assert rows.num_rows > 10 and sorted(found) == sorted(want.values())
+    assert sorted(x[b & 1] for (_, b), (_, x) in three.items()) == sorted(n for c in last.values() for n in c.values())
+
+
 def test_lm_beats_word_counts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = [r for r in lm_score.score_texts(docs).collect() if r["held_out"]]
