@@ -4,9 +4,9 @@ Pieces are dealt to shards by a hash of their key.  In a shard, best fit in orde
 length makes the first bins; then local search works between underfull bins: a piece of the
 emptiest bin moves, or pieces are exchanged one for one or two for one (either way), so that
 the fuller bin gains.  Each step raises the sum of squared fills, and bins run empty.  It ends
-when the number of bins equals the lower bound or no step is left.  Bins that are still
+when the number of bins equals the lower bound or ``DONORS`` bins in turn couldn't be emptied.  Bins that are still
 underfull go on to another round with the bins left over in other shards, until one shard
-is left; a shard therefore costs at most a bin or two, and those are packed again.
+is left or a round shrinks them by less than 10 %; that round's underfull bins stay.
 
 Null texts are documents of the end id alone; each document has at least that id, so none
 vanishes.  Repeated rows and null or repeated ids are documents of their own.  An empty table
