@@ -4,7 +4,8 @@ The words of a source form one stream in a seeded order of its documents, cut in
 equal size (the last one takes the rest).  Seats for blocks are apportioned to sources by
 highest quotients, ``u / (2k - 1)`` for the k-th seat of a source that is due ``u`` blocks.
 The method is house monotone, so the seats of the first ``h`` shards are those of a smaller
-house, and the difference is a shard's integer quota of each source.  A source's seats take
+house, and the difference is a shard's integer quota of each source.  The mix uses only the
+total of all shards: no block or document is given a shard.  A source's seats take
 its blocks in a seeded permutation, again from the start when all have been taken.
 
 A document's place in its stream is found in two steps, over 4,096 hash slices of each source
