@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from accessloom.llm import (
-    embed_dedup, lang_id, lm_score, mixing, near_dedup, packing, quality, suffix_dedup, token_count,
-    token_files,
+    embed_dedup, lang_id, lexical, lm_score, mixing, near_dedup, packing, pii, quality, spelling,
+    suffix_dedup, token_count, token_files,
 )
 from accessloom.sources.workspace import fresh_path
 
@@ -75,6 +75,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(documents(spark, sf_dir), damage=97)
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(documents(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -84,7 +96,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     found = (op1_best_fit_packing, op2_token_counts, op3_lm_scoring, op4_suffix_array_dedup, op5_quality_rules,
              op6_language_id, op7_token_files, op8_minhash_near_dedup, op9_embedding_near_dedup, op10_mixing,
-             pipeline)
+             op11_spelling_variants, op12_lexical_search, op13_personal_data, pipeline)
     return {fn.__name__: fn for fn in found}
 
 
@@ -112,6 +124,7 @@ _MIX = f"SELECT doc_id, size, source_size, target, taken FROM ({mixing.MIX_SQL})
 def oracle_sql() -> dict[str, str]:
     out = {
         "op5_quality_rules": quality.REPORT_SQL, "op9_embedding_near_dedup": _VECTORS_SQL, "op10_mixing": _MIX,
+        "op11_spelling_variants": spelling.SPELLING_SQL, "op12_lexical_search": lexical.SEARCH_SQL,
     }
     import corpus_pipeline
 
