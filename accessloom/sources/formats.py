@@ -136,7 +136,7 @@ def builtin_formats(server: str) -> list[LogFormat]:
 
 # ---------------------------------------------------------------- discovery
 
-_CONF_SCHEMA = "server_type string, name string, format_str string, vars array<string>"
+_CONF_SCHEMA = "server_type string, name string, format_str string, vars array<string>, path string"
 
 
 def read_server_confs(spark: SparkSession, path: str) -> DataFrame:
@@ -176,24 +176,44 @@ def _discovered(confs, server, directive, *, name_group, format_group, clean, va
     found = (
         confs.select(F.col(file).alias("path"), F.arrays_zip(*extracted).alias("pairs"))
         .select("path", F.posexplode("pairs").alias("at", "p"))
-        .groupBy(F.col("p.0").alias("name"))
-        # a name defined again takes the later definition, files in order of their path
-        .agg(F.max_by(F.col("p.1"), F.struct("path", "at")).alias("text"))
+        .groupBy("path", F.col("p.0").alias("name"))
+        # a name defined again in a file takes the later definition; other files keep theirs
+        .agg(F.max_by(F.col("p.1"), "at").alias("text"))
         .select(
             F.lit(server).alias("server_type"), "name",
-            F.trim(clean(F.col("text"))).alias("format_str"),
+            F.trim(clean(F.col("text"))).alias("format_str"), "path",
         )
         .withColumn("vars", F.regexp_extract_all("format_str", F.lit(variable), F.lit(1)))
         .filter(F.size("vars") > 0)
+        .select("server_type", "name", "format_str", "vars", "path")
     )
     if not builtin:
         return found
-    rows = [(f.server_type, f.name, f.format_str, list(f.tokens)) for f in builtin_formats(server)]
-    own = confs.sparkSession.createDataFrame(rows, _CONF_SCHEMA)
-    return own.join(found.select("name"), "name", "left_anti").unionByName(found)
+    # no path: it holds in every file that defines no format of that name
+    rows = [(f.server_type, f.name, f.format_str, list(f.tokens), None) for f in builtin_formats(server)]
+    return confs.sparkSession.createDataFrame(rows, _CONF_SCHEMA).unionByName(found)
 
 
-def load_formats(log_formats: DataFrame) -> list[LogFormat]:
-    """Compile a table of formats, which is configuration, on the driver."""
-    rows = log_formats.select("server_type", "name", "format_str").distinct().collect()
-    return [compile_format(r.server_type, r.name, r.format_str) for r in rows]
+def load_formats(log_formats: DataFrame, path: str | None = None) -> list[LogFormat]:
+    """Compile a table of formats, which is configuration, on the driver.
+
+    With ``path`` the formats of one configuration file and the built-in ones it doesn't
+    define itself.  Without, files that give one name to different formats are refused.
+    """
+    kept = log_formats.select(
+        "server_type", "name", "format_str", *(["path"] if "path" in log_formats.columns else []))
+    if path is not None:
+        kept = kept.filter((F.col("path") == path) | F.col("path").isNull())
+    rows = kept.distinct().collect()
+    by_name: dict[tuple, dict[str, bool]] = {}
+    for r in rows:
+        own = "path" not in r or r.path is not None
+        texts = by_name.setdefault((r.server_type, r.name), {})
+        texts[r.format_str] = texts.get(r.format_str, False) or own
+    out = []
+    for (server, name), texts in by_name.items():
+        texts = [t for t, own in texts.items() if own] or list(texts)
+        if len(texts) > 1:
+            raise ValueError(f"log format {name!r} has several definitions; choose a path")
+        out.append(compile_format(server, name, texts[0]))
+    return out

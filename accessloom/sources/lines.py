@@ -11,11 +11,13 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from accessloom.functions.text import strip
 from accessloom.sources.formats import LogFormat, compile_format
+from accessloom.sources.growing import follow_lines
 
 ENVELOPE_SCHEMA = (
     "node_id string, app_name string, log_format_name string, "
-    "line string, log_format_str string, log_format_vars string"
+    "line string, log_format_str string, log_format_vars string, sent_key string"
 )
+SENT_KEY = "sent_key"
 TAGS = ("node_id", "app_name", "log_format_name")
 
 
@@ -33,11 +35,12 @@ class App:
         return self.section.rsplit(".", 1)[-1]
 
     def tag(self, lines: DataFrame) -> DataFrame:
+        key = [SENT_KEY] if SENT_KEY in lines.columns else []
         return lines.select(
             F.lit(self.node_id).alias("node_id"),
             F.lit(self.app_name).alias("app_name"),
             F.lit(self.format_name).alias("log_format_name"),
-            "value",
+            "value", *key,
         )
 
 
@@ -66,10 +69,29 @@ def stream_apps(
     return _union([app.tag(lines(path)) for app in apps for path in app.paths])
 
 
+def follow_apps(
+    spark: SparkSession, apps: Sequence[App], *, position: str = "head", max_bytes: int = 0, **options
+) -> DataFrame:
+    """Tagged lines of files that are still being written, see :mod:`accessloom.sources.growing`.
+
+    ``sent_key`` names a line's file and place, so that a line that is sent twice is known as one.
+    """
+    def lines(app: App) -> DataFrame:
+        found = follow_lines(spark, list(app.paths), position=position, max_bytes=max_bytes, **options)
+        key = F.concat_ws(" ", F.lit(app.node_id), "file", "at")
+        return found.select("value", key.alias(SENT_KEY))
+
+    return _union([app.tag(lines(app)) for app in apps])
+
+
 # ---------------------------------------------------------------- envelopes
 
 def to_envelopes(tagged: DataFrame, formats: Sequence[LogFormat]) -> DataFrame:
-    """Tagged lines as JSON, one ``value`` per line, with the text of their format."""
+    """Tagged lines as JSON, one ``value`` per line, with the text of their format.
+
+    A ``sent_key`` goes along where the lines have one.
+    """
+    key = [SENT_KEY] if SENT_KEY in tagged.columns else []
     def by_name(attribute):
         out = F.lit(None).cast("string")
         for f in formats:
@@ -83,6 +105,7 @@ def to_envelopes(tagged: DataFrame, formats: Sequence[LogFormat]) -> DataFrame:
                 strip(F.col("value")).alias("line"),
                 by_name("format_str").alias("log_format_str"),
                 by_name("vars_joined").alias("log_format_vars"),
+                *key,
             )
         ).alias("value")
     )
@@ -121,14 +144,40 @@ def start_queueing(
     return writer.trigger(**trigger).start()
 
 
+def drop_resent(queue: DataFrame, within: str = "120 seconds") -> DataFrame:
+    """The ``value`` column without envelopes whose key came before.
+
+    On a stream a key is remembered for ``within`` after it first came, by the clock of the
+    receiver, and forgotten at the latest when twice that time has passed; however old an
+    envelope is, its first arrival counts.  Envelopes without a key are all kept.
+    """
+    value = F.col("value").cast("string")
+    key = F.coalesce(F.get_json_object(value, f"$.{SENT_KEY}"), F.uuid())
+    keyed = queue.withColumn(SENT_KEY, key)
+    if not queue.isStreaming:
+        return keyed.dropDuplicates([SENT_KEY]).select("value")
+    watched = keyed.withColumn("received_at", F.current_timestamp()).withWatermark("received_at", within)
+    return watched.dropDuplicatesWithinWatermark([SENT_KEY]).select("value")
+
+
 def formats_in(
-    envelopes: DataFrame, server: str | Callable[[str], str]
+    envelopes: DataFrame, server: str | Callable[[str], str], *, most: int = 1000
 ) -> list[LogFormat]:
     """The formats that occur in decoded envelopes, compiled.
 
     ``server`` is their server type, or tells it from a format's name.  One aggregation
-    over two columns.
+    over two columns.  Envelopes come from outside: texts that can't be compiled are left out,
+    and of more than ``most`` texts those of the fewest lines.  Lines of a format that was left
+    out are rejected as of an unknown one, with their format's text, and can be parsed later.
     """
-    pairs = envelopes.select("log_format_name", "log_format_str").dropna().distinct().collect()
+    pairs = envelopes.select("log_format_name", "log_format_str").dropna()
+    counts = pairs.groupBy("log_format_name", "log_format_str").agg(F.count("*").alias("n"))
+    often = counts.orderBy(F.desc("n"), "log_format_name", "log_format_str").limit(most).collect()
     type_of = server if callable(server) else lambda name: server
-    return [compile_format(type_of(name), name, text) for name, text in pairs]
+    found = []
+    for name, text, _ in often:
+        try:
+            found.append(compile_format(type_of(name), name, text))
+        except ValueError:
+            continue
+    return found

@@ -6,6 +6,8 @@ beyond it are missing from the live series only, not from the stored table.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,6 +61,22 @@ def live_ip_pv_by_minute_estimate(rows: DataFrame, late: str = LATE, rsd: float
     return estimates.select("ip_num", "pv_num", _start().alias("time_str"))
 
 
+def live_ip_pv_by_minute_running(rows: DataFrame, late: str = LATE) -> DataFrame:
+    """Exact visitors and requests of minutes still open, in update mode.
+
+    An address is new in its minute once: the state holds each (minute, address) spread over
+    all tasks, until the watermark passes the minute.  A row then counts as a visit if it was the
+    first, and as a request always, so a busy minute or address never gathers in one place.
+    """
+    watched = rows.withWatermark("event_time", late).select(_bucket("1 minute").alias("window"), "ip")
+    first = watched.filter(F.col("ip").isNotNull()).dropDuplicates(["window", "ip"])
+    one, none = F.lit(1), F.lit(0)
+    both = first.select("window", one.alias("visit"), none.alias("hit")).unionByName(
+        watched.select("window", none.alias("visit"), one.alias("hit")))
+    sums = both.groupBy("window").agg(F.sum("visit").alias("ip_num"), F.sum("hit").alias("pv_num"))
+    return sums.select("ip_num", "pv_num", _start().alias("time_str"))
+
+
 def live_total_ip(rows: DataFrame, late: str = LATE) -> DataFrame:
     """Exact visitors per day, once the day is complete."""
     watched = rows.withWatermark("event_time", late)
@@ -104,6 +122,31 @@ def live_request_num_by_province(rows: DataFrame) -> DataFrame:
     return largest(_counted(placed, "province", "value"), "value", "province", limit=None)
 
 
+def live_top(
+    rows: DataFrame, key: str, limit: int = 10, *, width: str = "1 day", tracked: int = 10_000,
+    late: str = LATE, where: Column | None = None,
+) -> DataFrame:
+    """The most frequent values of ``key`` in each bucket of time, with bounded state.
+
+    A bucket keeps a summary of at most ``tracked`` values, built in every task and merged,
+    whatever the number of values in the stream.  ``total_num`` is at most ``error`` above the
+    true count and never below it; it is exact (``error`` 0) while no more rows came than the
+    summary has room for, and within 3.5 / (room for values) of all rows of the bucket otherwise.
+    A value with more than ``error`` rows is never missed if fewer than ``limit`` have more.
+    """
+    if not 0 < limit <= tracked <= 1_000_000:
+        raise ValueError("limit must be at most tracked, and tracked at most 1,000,000")
+    room = 1 << max(math.ceil(tracked / 0.75) - 1, 1).bit_length()
+    watched = rows.withWatermark("event_time", late).filter(F.col(key).isNotNull())
+    if where is not None:
+        watched = watched.filter(where)
+    summed = watched.groupBy(_bucket(width)).agg(
+        F.count("*").alias("n"), F.expr(f"approx_top_k(`{key}`, {limit}, {tracked})").alias("top"))
+    error = F.when(F.col("n") <= int(room * 0.75), 0).otherwise(F.floor(F.col("n") * 3.5 / room)).cast("long")
+    return summed.select(_start().alias("time_str"), error.alias("error"), F.explode("top").alias("top")).select(
+        "time_str", F.col("top.count").alias("total_num"), F.col("top.item").alias(key), "error")
+
+
 def live_spider_by_ua(rows: DataFrame) -> DataFrame:
     spiders = rows.filter(has_word(F.col("ua"), "spider"))
     return largest(_counted(spiders, "ua"), "total_num", "ua", limit=None, ascending_output=False)
