@@ -97,12 +97,8 @@ def has_substring(col: Column, text: str) -> Column:
     return F.contains(col, F.lit(text))
 
 
-def fulltext(col: Column, query: str, mode: str = "natural") -> Column:
-    """Word-list search.
-
-    ``natural``: any of the words.  ``boolean``: ``+word`` must occur, ``-word`` must
-    not; plain words count only where no ``+word`` is given, and then one must occur.
-    """
+def fulltext_words(query: str, mode: str = "natural") -> tuple[list[str], list[str], list[str]]:
+    """The required, excluded and optional words of a word list."""
     words = query.split()
     if mode == "natural":
         required, excluded, optional = [], [], words
@@ -114,7 +110,16 @@ def fulltext(col: Column, query: str, mode: str = "natural") -> Column:
         raise ValueError("mode must be 'natural' or 'boolean'")
     if any(not w for w in required + excluded):
         raise ValueError(f"a sign without a word in {query!r}")
+    return required, excluded, optional
+
 
+def fulltext(col: Column, query: str, mode: str = "natural") -> Column:
+    """Word-list search.
+
+    ``natural``: any of the words.  ``boolean``: ``+word`` must occur, ``-word`` must
+    not; plain words count only where no ``+word`` is given, and then one must occur.
+    """
+    required, excluded, optional = fulltext_words(query, mode)
     if required:
         found = _all(has_word(col, w) for w in required)
     elif optional:
