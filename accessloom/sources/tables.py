@@ -31,6 +31,8 @@ def with_period(rows: DataFrame, split_save: str | None, *, by: str = "event") -
         raise ValueError(f"split_save must be one of {', '.join(PERIODS)}")
     if by not in ("event", "ingest"):
         raise ValueError("by must be 'event' or 'ingest'")
+    if by == "event" and "event_time" not in rows.columns:  # formats without a time
+        return rows.withColumn(PERIOD, F.lit(ALL))
     time = F.col("event_time") if by == "event" else F.current_timestamp()
     return rows.withColumn(PERIOD, F.coalesce(period_of(time, split_save), F.lit(ALL)))
 
