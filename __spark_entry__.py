@@ -17,18 +17,21 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accessloom.functions import network, text, times
+from accessloom.functions import measures, network, text, times
 from accessloom.operators.distinct import distinct_and_all
-from accessloom.operators.geo import RangeTable, geo_join, prepare_ranges
+from accessloom.operators.geo import RangeTable, geo_join, prepare_ranges, read_ranges
 from accessloom.operators.parse import (
     column_widths, good_rows, parse_lines, rejected_rows, with_time,
 )
-from accessloom.plans import traffic
+from accessloom.operators.word_index import WordIndex, keep_index
+from accessloom.plans import rollup, traffic
 from accessloom.sources import formats as fm
 from accessloom.sources import lines as ln
+from accessloom.sources import published
 from accessloom.sources.tables import (
     PERIOD, read_access, read_rejected, with_period, write_access,
 )
+from accessloom.sources.variables import ServerType, Variable, register_server_type
 from accessloom.sources.workspace import fresh_path
 from accessloom.streaming import ingest, live
 from fixtures import rendered as fx
@@ -737,6 +740,291 @@ _on_stream("live_total_ip", live.live_total_ip, "append", """
       SELECT count(DISTINCT ip) AS total_num, "timestamp" // 86400 * 86400 AS time_str
       FROM access GROUP BY ALL)
     WHERE time_str + 86400 <= (SELECT max("timestamp") FROM access) - 600""")
+_on_stream("live_ip_pv_by_minute_running", live.live_ip_pv_by_minute_running, "update", """
+    SELECT count(DISTINCT ip) AS ip_num, count(*) AS pv_num, "timestamp" // 60 * 60 AS time_str
+    FROM access GROUP BY ALL""")
+# With room for all values the ranking is a full count, and exact.
+_on_stream("live_top_urls", lambda rows: live.live_top(rows, "request_url", 100_000, tracked=100_000), "update", """
+    SELECT "timestamp" // 86400 * 86400 AS time_str, count(*) AS total_num, request_url, 0 AS error
+    FROM access GROUP BY ALL""")
+_on_stream("live_top_failures", lambda rows: live.live_top(
+    rows, "status_code", 50, tracked=100_000, where=F.col("status_code") != 200, width="365 days"), "update", """
+    SELECT min("timestamp") // 31536000 * 31536000 AS time_str, count(*) AS total_num, status_code, 0 AS error
+    FROM access WHERE status_code <> 200 GROUP BY status_code, "timestamp" // 31536000""")
+
+
+# ---------------------------------------------------------------- files and queues
+
+def _line_files(spark: SparkSession, sf: str, where=None, path: str | None = None, name: str = "combined_plus") -> str:
+    """Rendered lines as six text files, added to what is in the folder."""
+    path = path or fresh_path(spark, "log")
+    events = fx.events(spark, sf)
+    lines = fx.rendered(events if where is None else events.filter(where), name)
+    lines.repartition(6).write.mode("append").text(path)
+    return path
+
+
+def _summed(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.min("time_str").alias("first_time"), F.max("time_str").alias("last_time"),
+        F.sum("bytes_sent").alias("bytes_sent"),
+    )
+
+
+_SUMMED = """count(*) AS n, min(time_str) AS first_time, max(time_str) AS last_time,
+       CAST(sum(bytes_sent) AS BIGINT) AS bytes_sent FROM access"""
+
+
+def _apps(spark: SparkSession, sf: str) -> list[ln.App]:
+    purchase = F.col("event_type") == "purchase"
+    return [
+        ln.App("site.shop", [_line_files(spark, sf, purchase, name="iso_timed")], "iso_timed", "node-1"),
+        ln.App("www", [_line_files(spark, sf, ~purchase)], "combined_plus", "node-2"),
+    ]
+
+
+_APPS_SQL = _access_sql(f"""
+  SELECT CASE request_method WHEN 'POST' THEN 'node-1' ELSE 'node-2' END AS node_id,
+         CASE request_method WHEN 'POST' THEN 'shop' ELSE 'www' END AS app_name,
+         CASE request_method WHEN 'POST' THEN 'iso_timed' ELSE 'combined_plus' END AS log_format_name,
+         {_SUMMED} GROUP BY ALL""")
+_TAGS = ("node_id", "app_name", "log_format_name")
+
+
+@_query("read_tagged_files", _APPS_SQL)
+def _(spark, sf):
+    parsed = ingest.parse_stream(ln.read_apps(spark, _apps(spark, sf)), [fx.format_named(n) for n in _MIXED])
+    return _summed(good_rows(parsed), *_TAGS)
+
+
+@_query("stream_tagged_files", _APPS_SQL)
+def _(spark, sf):
+    lines = ln.stream_apps(spark, _apps(spark, sf), max_files_per_trigger=4)
+    path = fresh_path(spark, "access")
+    parsed = ingest.parse_stream(lines, [fx.format_named(n) for n in _MIXED])
+    ingest.start_ingest(parsed, path, fresh_path(spark, "offsets"), every=None).awaitTermination()
+    return _summed(read_access(spark, path), *_TAGS)
+
+
+def _followed(spark: SparkSession, sf: str, position: str) -> DataFrame:
+    """Ingest from a folder that gets more lines between two runs."""
+    folder, path, offsets = (fresh_path(spark, n) for n in ("log", "access", "offsets"))
+    for half in (0, 1):
+        _line_files(spark, sf, F.col("event_id") % 2 == half, folder)
+        lines = ln.follow_apps(
+            spark, [ln.App("www", [folder], "combined_plus", "node-1")], position=position)
+        parsed = ingest.parse_stream(lines, [fx.format_named("combined_plus")])
+        ingest.start_ingest(parsed, path, offsets, every=None).awaitTermination()
+    return _summed(read_access(spark, path), "node_id", "app_name")
+
+
+@_query("follow_growing_files", _access_sql(f"SELECT 'node-1' AS node_id, 'www' AS app_name, {_SUMMED}"))
+def _(spark, sf):
+    return _followed(spark, sf, "head")
+
+
+@_query("follow_from_the_tail", _access_sql(
+    f"SELECT 'node-1' AS node_id, 'www' AS app_name, {_SUMMED} WHERE event_id % 2 = 1"))
+def _(spark, sf):
+    return _followed(spark, sf, "tail")
+
+
+def _queued(spark: SparkSession, sf: str, times_sent: int = 1) -> str:
+    """A queue of envelopes in text files, each sent as often as asked for."""
+    tagged = _tagged_lines(spark, sf).withColumn(
+        ln.SENT_KEY, F.concat_ws(" ", "node_id", F.monotonically_increasing_id().cast("string")))
+    envelopes = ln.to_envelopes(tagged, [fx.format_named(n) for n in _MIXED])
+    once = fresh_path(spark, "sent")
+    envelopes.write.text(once)
+    path = fresh_path(spark, "queue")
+    for _ in range(times_sent):
+        spark.read.text(once).repartition(4).write.mode("append").text(path)
+    return path
+
+
+_QUEUE_SQL = _access_sql(f"""
+  SELECT CASE WHEN request_method = 'POST' THEN 'shop' ELSE 'www' END AS app_name, {_SUMMED} GROUP BY ALL""")
+
+
+@_query("queue_in_two_runs", _QUEUE_SQL)
+def _(spark, sf):
+    queue, path, offsets = _queued(spark, sf), fresh_path(spark, "access"), fresh_path(spark, "offsets")
+    named = [fx.format_named(n) for n in _MIXED]
+    for _ in range(2):  # the second finds everything handled
+        parsed = ingest.parse_envelopes(ln.read_queue(spark, "text", path=queue, maxFilesPerTrigger=3), named)
+        ingest.start_ingest(parsed, path, offsets, every=None).awaitTermination()
+    return _summed(read_access(spark, path), "app_name")
+
+
+@_query("queue_of_resent_envelopes", _QUEUE_SQL)
+def _(spark, sf):
+    queue, path = _queued(spark, sf, times_sent=3), fresh_path(spark, "access")
+    once = ln.drop_resent(ln.read_queue(spark, "text", path=queue, maxFilesPerTrigger=6))
+    parsed = ingest.parse_envelopes(once, [fx.format_named(n) for n in _MIXED])
+    ingest.start_ingest(parsed, path, fresh_path(spark, "offsets"), every=None).awaitTermination()
+    return _summed(read_access(spark, path), "app_name")
+
+
+@_query("queue_with_bad_formats", _access_sql("""
+  SELECT CASE WHEN event_id % 3 = 0 THEN 'unknown format' END AS reason, count(*) AS n
+  FROM access GROUP BY ALL"""))
+def _(spark, sf):
+    fmt = fx.format_named("combined_plus")
+    bad = F.col("event_id") % 3 == 0
+    queue = fx.events(spark, sf).select(F.to_json(F.struct(
+        fx.combined_plus_line().alias("line"), F.lit("main").alias("log_format_name"),
+        F.when(bad, F.concat(F.lit("$no_such_"), F.col("event_id") % 7)).otherwise(fmt.format_str).alias("log_format_str"),
+    )).alias("value"))
+    found = ln.formats_in(ln.from_envelopes(queue), "nginx")
+    parsed = ingest.parse_envelopes(queue, found)
+    return parsed.groupBy(F.col("reject_reason").alias("reason")).agg(F.count("*").alias("n"))
+
+
+@_query("stream_in_steps", _access_sql("""
+  SELECT strftime(t, '%Y_%m') AS period, count(*) AS n, 'after' AS step FROM access GROUP BY ALL"""))
+def _(spark, sf):
+    path, out = fresh_path(spark, "access"), fresh_path(spark, "panel")
+
+    def after(batch: DataFrame, number: int) -> None:
+        table = read_access(batch.sparkSession, path)
+        table.groupBy(PERIOD).agg(F.count("*").alias("n")).withColumn("step", F.lit("after")).write.mode(
+            "overwrite").parquet(out)
+
+    lines = ln.stream_apps(
+        spark, [ln.App("www", [_line_files(spark, sf)], "combined_plus", "node-1")], max_files_per_trigger=3)
+    parsed = ingest.parse_stream(lines, [fx.format_named("combined_plus")])
+    ingest.start_batches(
+        parsed, fresh_path(spark, "offsets"), ingest.write_numbered(path, split_save="month"), after=after, every=None
+    ).awaitTermination()
+    return spark.read.schema("period string, n long, step string").parquet(out)
+
+
+@_query("parse_own_server_type", _access_sql("""
+  SELECT ip, request_length AS took, 'e' || CAST(event_id % 5 AS VARCHAR) AS edge, count(*) AS n FROM access GROUP BY ALL"""))
+def _(spark, sf):
+    register_server_type(ServerType("edge", r"<\w+>", {
+        "<who>": Variable("ip"), "<ms>": Variable("took", "digits+", "bigint"), "<edge>": Variable("edge")}))
+    p = fx._parts()
+    lines = fx.events(spark, sf).select(F.concat(
+        p["ip"], F.lit(" took "), p["received"], F.lit("ms at e"), (F.col("event_id") % 5).cast("string")).alias("value"))
+    rows = good_rows(parse_lines(lines, fm.compile_format("edge", "edge", "<who> took <ms>ms at <edge>")))
+    return rows.groupBy("ip", "took", "edge").agg(F.count("*").alias("n"))
+
+
+@_query("geo_join_read_ranges", _CUSTOMER_GEO_SQL)
+def _(spark, sf):
+    path = fresh_path(spark, "ranges")
+    fx.customer_ranges(spark, sf).write.parquet(path)
+    return geo_join(_event_addresses(spark, sf), read_ranges(spark, path)).drop("ip")
+
+
+@_query("three_places", """
+  SELECT o_orderkey, CAST(round(CAST((o_orderkey * 10007 % 1000003) / 10000.0 AS DECIMAL(18, 4)), 3) AS DOUBLE) AS amount
+  FROM orders""")
+def _(spark, sf):
+    amount = ((F.col("o_orderkey") * 10007 % 1000003) / 10000).cast("decimal(18,4)")
+    return spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", measures.three_places(amount).alias("amount"))
+
+
+# ---------------------------------------------------------------- rollups and word index
+
+def _rolled(spark: SparkSession, sf: str, **options) -> DataFrame:
+    table, out = _stored(spark, sf, "month"), fresh_path(spark, "rollup")
+    rollup.keep_rollup(spark, table, out, **options)
+    return rollup.read_rollup(spark, out)
+
+
+@_query("rollup_by_hour", _access_sql("""
+  SELECT "timestamp" // 3600 * 3600 AS time_str, count(*) AS pv_num,
+         count(*) FILTER (status_code <> 200) AS failed, CAST(sum(bytes_sent) AS BIGINT) AS bytes_sent,
+         CAST(sum(request_length) AS BIGINT) AS request_length
+  FROM access GROUP BY ALL"""))
+def _(spark, sf):
+    return rollup.totals(_rolled(spark, sf), 3600).drop("ip_num")
+
+
+@_query("rollup_traffic_by_minute", _access_sql(_TRAFFIC_SQL.format(where=_SINCE, limit="")))
+def _(spark, sf):
+    return rollup.network_traffic(_rolled(spark, sf))
+
+
+@_query("rollup_visitors_by_day", _access_sql("""
+  SELECT "timestamp" // 86400 * 86400 AS time_str, count(*) AS pv_num, TRUE AS within_error FROM access GROUP BY ALL"""))
+def _(spark, sf):
+    rolled = rollup.totals(_rolled(spark, sf), 86400).select("time_str", "pv_num", "ip_num")
+    day = F.expr("timestamp div 86400 * 86400").alias("time_str")
+    exact = distinct_and_all(access_rows(spark, sf, False), "ip", day).select(F.col("ip_num").alias("exact"), "time_str")
+    error = F.abs(F.col("ip_num") - F.col("exact")) <= F.ceil(rollup.visitors_error() * F.col("exact"))
+    return rolled.join(exact, "time_str").select("time_str", "pv_num", error.alias("within_error"))
+
+
+@_query("rollup_top_urls", _access_sql("""
+  SELECT count(*) AS total_num, request_url FROM access GROUP BY request_url ORDER BY total_num DESC, request_url LIMIT 10"""))
+def _(spark, sf):
+    return rollup.top(_rolled(spark, sf, by=("request_url",)), "request_url")
+
+
+def _word_index(spark: SparkSession, sf: str) -> WordIndex:
+    table, out = _stored(spark, sf, "month"), fresh_path(spark, "index")
+    keep_index(spark, table, out)
+    return WordIndex(spark, out)
+
+
+@_query("index_spider_by_ua", _access_sql(f"SELECT count(*) AS total_num, ua FROM access WHERE {_SPIDER_WORD} GROUP BY ua"))
+def _(spark, sf):
+    return _word_index(spark, sf).counts("spider").withColumnRenamed("text", "ua")
+
+
+@_query("index_device_type_by_ua", _access_sql(f"""
+    SELECT count(DISTINCT CASE WHEN list_contains(w, 'gecko') AND NOT list_contains(w, 'mobile') THEN ua END) AS pc_num,
+           count(DISTINCT CASE WHEN list_contains(w, 'mobile') OR list_contains(w, 'xfb') THEN ua END) AS mobile_num
+    FROM (SELECT ua, {_WORDS_SQL.format('ua')} AS w FROM access)"""))
+def _(spark, sf):
+    index = _word_index(spark, sf)
+    pc = index.distinct_texts("+gecko -mobile", "boolean").select(F.col("num").alias("pc_num"))
+    mobile = index.distinct_texts("mobile xfb").select(F.col("num").alias("mobile_num"))
+    return pc.join(mobile, F.lit(True))  # one row each
+
+
+# ---------------------------------------------------------------- rewritten tables
+
+@_query("compacted_months", _access_sql("""
+    SELECT strftime(t, '%Y_%m') AS period, count(*) AS n, CAST(sum(bytes_sent) AS BIGINT) AS bytes_sent,
+           TRUE AS fewer_files
+    FROM access GROUP BY ALL"""))
+def _(spark, sf):
+    path = fresh_path(spark, "access")
+    lines = ln.stream_apps(
+        spark, [ln.App("www", [_line_files(spark, sf)], "combined_plus", "node-1")], max_files_per_trigger=1)
+    parsed = ingest.parse_stream(lines, [fx.format_named("combined_plus")])
+    ingest.start_ingest(parsed, path, fresh_path(spark, "offsets"), split_save="month", every=None).awaitTermination()
+    before = published.live_files(spark, path).count()
+    published.compact(spark, path)
+    fewer = published.live_files(spark, path).count() < before
+    return published.read_published(spark, path).groupBy(PERIOD).agg(
+        F.count("*").alias("n"), F.sum("bytes_sent").alias("bytes_sent")).withColumn("fewer_files", F.lit(fewer))
+
+
+@_query("replayed_rejects", _access_sql(f"""
+    SELECT coalesce(host, '-') AS host, n, first_time, last_time, bytes_sent FROM (
+      SELECT CASE WHEN event_id % 2 = 1 THEN 'shop.example.com' END AS host, {_SUMMED} GROUP BY ALL)"""))
+def _(spark, sf):
+    path = fresh_path(spark, "access")
+    known, late = (fx.format_named(n) for n in _MIXED)
+    write_access(ingest.parse_stream(_tagged_lines(spark, sf), [known]), path, split_save="month")
+    published.replay_rejects(spark, path, [late], format_column="log_format_name", split_save="month")
+    rows = published.read_published(spark, path)
+    return _summed(rows.withColumn("host", F.coalesce("host", F.lit("-"))), "host")
+
+
+@_query("clustered_look_up", _access_sql(f"""
+    SELECT ip, status_code, count(*) AS n, CAST(sum(bytes_sent) AS BIGINT) AS bytes_sent
+    FROM access WHERE ip = '{IP}' GROUP BY ALL"""))
+def _(spark, sf):
+    path = _stored(spark, sf, "year")
+    published.cluster(spark, path, periods=["2024"], target_bytes=8 << 20)
+    rows = published.read_published(spark, path, split_save="year", first="2024-01-01").filter(F.col("ip") == IP)
+    return rows.groupBy("ip", "status_code").agg(F.count("*").alias("n"), F.sum("bytes_sent").alias("bytes_sent"))
 
 
 # ---------------------------------------------------------------- driver contract
