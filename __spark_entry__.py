@@ -23,6 +23,7 @@ from accessloom.operators.geo import RangeTable, geo_join, prepare_ranges, read_
 from accessloom.operators.parse import (
     column_widths, good_rows, parse_lines, rejected_rows, with_time,
 )
+from accessloom.operators.untagged import parse_untagged
 from accessloom.operators.word_index import WordIndex, keep_index
 from accessloom.plans import rollup, traffic
 from accessloom.sources import formats as fm
@@ -163,6 +164,21 @@ def _(spark, sf):
     )
 
 
+@_query("parse_untagged_lines", _access_sql("""
+  SELECT CASE WHEN event_id % 2 = 0 THEN 'combined_plus' ELSE 'iso_timed' END AS log_format_name,
+         ip, "timestamp", time_str, CASE WHEN event_id % 2 = 0 THEN args END AS args, status_code,
+         bytes_sent, ua, province,
+         CASE WHEN event_id % 2 = 0 THEN request_url ELSE request_url || '?' || args END AS request_url
+  FROM access"""))
+def _(spark, sf):
+    others = [fm.compile_format("nginx", f"f{i}", f'$remote_addr [$time_local] "$request" $status at{i} "$http_user_agent"')
+              for i in range(300)]
+    lines = _tagged_lines(spark, sf).select("value")
+    rows = good_rows(parse_untagged(lines, [fx.format_named(n) for n in _MIXED] + others, ranges=_ranges(spark, sf)))
+    return rows.select("log_format_name", "ip", "timestamp", "time_str", "args", "status_code", "bytes_sent", "ua",
+                       "province", "request_url")
+
+
 @_query("envelope_round_trip", _access_sql("""
   SELECT CASE WHEN request_method = 'POST' THEN 'shop' ELSE 'www' END AS app_name,
          CASE WHEN event_id % 2 = 0 THEN 'combined_plus' ELSE 'iso_timed' END AS log_format_name,
@@ -1063,8 +1079,7 @@ def _on_workers(fn: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    more = {name: _on_workers(fn) for name, fn in _llm.queries().items()} if _llm else {}
-    return {name: _in_utc(fn) for name, fn in (_QUERIES | more).items()}
+    return {name: _on_workers(_in_utc(fn)) for name, fn in (_QUERIES | (_llm.queries() if _llm else {})).items()}
 
 
 def oracle_sql() -> dict[str, str]:
