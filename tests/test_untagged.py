@@ -71,7 +71,7 @@ def test_the_trie_finds_what_trying_all_finds():
     formats = []
     for i in range(60):
         pieces = rng.choices([" ", " - ", "|", " [", "] ", '"', " x", "-Y "], k=rng.randint(1, 4))
-        names = rng.sample(["$remote_addr", "$status", "$host", "$args", "$bytes_sent", "$remote_user"], len(pieces) + 1)
+        names = rng.sample(["$remote_addr", "$status", "$host", "$http_referer", "$bytes_sent", "$remote_user"], len(pieces) + 1)
         body = "".join(n + p for n, p in zip(names, pieces)) + (names[-1] if rng.random() < 0.5 else "")
         formats.append(compile_format("nginx", f"f{i:02d}", rng.choice(["", "", "<"]) + body))
     slots = list(dict.fromkeys(s for f in formats for s in f.slots))
