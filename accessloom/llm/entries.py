@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,19 +21,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = packing.pack_documents(documents(spark, sf_dir))
-
-    def digests(source):
-        for batch in source:
-            columns = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-            crc = [token_files.ids_crc32(x, w) for x, w in zip(
-                columns["ids"].to_pylist(), columns["id_bytes"].to_pylist())]
-            columns["ids_crc32"] = pa.array(crc, pa.int64())
-            yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
-
-    names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-    return packed.mapInArrow(
-        digests, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    packed = packing.pack_documents(documents(spark, sf_dir), digest=True)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

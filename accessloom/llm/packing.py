@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from accessloom.llm.common import stored
+from accessloom.llm.token_files import ids_crc32
 from accessloom.llm.tokens import encoder
 
 #: Pieces in a shard; bounds the memory and time of a task.
@@ -196,46 +197,60 @@ def place(pieces: DataFrame, capacity: int, shard_pieces: int = SHARD_PIECES) ->
 
 def token_pieces(
     docs: DataFrame, capacity: int = 4096, number: str = "doc_id", text: str = "text",
-    tokenizer: str | None = None, end_id: int = 1,
+    tokenizer: str | None = None, end_id: int = 1, digest: bool = False,
 ) -> DataFrame:
     """Each document's ids and ``end_id``, cut after every ``capacity`` ids: uid, doc_id,
-    piece, start, length and ``ids`` (little endian, ``id_bytes`` each)."""
+    piece, start, length and ``ids`` (little endian, ``id_bytes`` each), or with ``digest``
+    ``ids_crc32`` of them instead."""
+    names = [f.split(" ")[0] for f in (_DIGESTS if digest else _PIECES).split(", ")]
+    kinds = _PIECE_TYPES[:5] + ([pa.int64()] if digest else _PIECE_TYPES[5:])
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer)
         width = coder.dtype.itemsize
         uid = TaskContext.get().partitionId() << 40
         for batch in source:
-            rows = []
-            for n, ids in zip(batch.column(0).to_pylist(), coder.encode(batch.column(1), end_id)):
-                for piece, at in enumerate(range(0, len(ids), capacity * width)):
-                    part = ids[at : at + capacity * width]
-                    rows.append((uid, n, piece, at // width, len(part) // width, width, part))
-                    uid += 1
-            if rows:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(zip(*rows), _PIECE_TYPES)], names=_PIECE_NAMES
-                )
+            parts, counts = [], []
+            for ids in coder.encode(batch.column(1), end_id):
+                cut = range(0, len(ids), capacity * width)
+                counts.append(len(cut))
+                parts += [ids] if len(cut) == 1 else [ids[at : at + capacity * width] for at in cut]
+            counts = np.array(counts, np.int64)
+            piece = np.arange(len(parts)) - np.repeat(np.cumsum(counts) - counts, counts)
+            lengths = np.fromiter(map(len, parts), np.int64, len(parts)) // width
+            columns = [
+                pa.array(uid + np.arange(len(parts))),
+                batch.column(0).take(pa.array(np.repeat(np.arange(len(batch)), counts))),
+                pa.array(piece.astype(np.int32)), pa.array(piece * capacity), pa.array(lengths),
+            ]
+            uid += len(parts)
+            if digest:
+                columns.append(pa.array([ids_crc32(x, width) for x in parts], pa.int64()))
+            else:
+                columns += [pa.array(np.full(len(parts), width, np.int32)), pa.array(parts, pa.binary())]
+            if parts:
+                yield pa.RecordBatch.from_arrays([c.cast(k) for c, k in zip(columns, kinds)], names=names)
 
     rows = docs.select(F.col(number).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(batches, _PIECES)
+    return rows.mapInArrow(batches, _DIGESTS if digest else _PIECES)
 
 
 _PIECES = "uid long, doc_id long, piece int, start long, length long, id_bytes int, ids binary"
-_PIECE_NAMES = [field.split(" ")[0] for field in _PIECES.split(", ")]
+_DIGESTS = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"
 _PIECE_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
 
 
 def pack_documents(
     docs: DataFrame, capacity: int = 4096, number: str = "doc_id", text: str = "text",
-    tokenizer: str | None = None, end_id: int = 1, shard_pieces: int = SHARD_PIECES,
+    tokenizer: str | None = None, end_id: int = 1, shard_pieces: int = SHARD_PIECES, digest: bool = False,
 ) -> DataFrame:
     """The pieces of all documents with their ids, ``sequence_id`` and ``offset``.
 
     Texts are encoded once; the pieces are a written table, and only their numbers and
-    lengths go through the packing rounds.
+    lengths go through the packing rounds.  With ``digest`` the ids stay where they are made
+    and only their checksum is handed on.
     """
-    pieces = stored(token_pieces(docs, capacity, number, text, tokenizer, end_id), "pieces")
+    pieces = stored(token_pieces(docs, capacity, number, text, tokenizer, end_id, digest), "pieces")
     placed = place(pieces.select("uid", "length"), capacity, shard_pieces)
     return pieces.join(placed, "uid").drop("uid")
 
