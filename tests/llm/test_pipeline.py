@@ -7,6 +7,7 @@ import pytest
 import corpus_pipeline
 from accessloom.llm import quality, token_files
 from tests.llm import brute
+from tests.llm.test_operators import SCHEMA, odd_rows
 
 
 @pytest.fixture(scope="module")
@@ -63,3 +64,17 @@ def test_packing_stage(stages):
     got = Counter((r["doc_id"], r["piece"], r["start"], r["length"], token_files.ids_crc32(r["ids"], r["id_bytes"]))
                   for r in stages["best_fit_packing"].collect())
     assert got == Counter(brute.pieces(pairs(stages["source_mixing"])))
+
+
+@pytest.mark.parametrize("rows", [[], odd_rows()], ids=["empty", "odd"])
+def test_odd_tables(spark, tmp_path, rows):
+    """No rows, or null ids and texts, repeated rows, very long texts and columns of clashing names."""
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    before = None
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, "/root/testdata/sf0.001").write.parquet(f"{tmp_path}/{name}")
+        before, docs = docs, spark.read.parquet(f"{tmp_path}/{name}")
+        assert bool(rows) or docs.isEmpty()
+    got = Counter((r["doc_id"], r["piece"], r["start"], r["length"], token_files.ids_crc32(r["ids"], r["id_bytes"]))
+                  for r in docs.collect())
+    assert got == Counter(brute.pieces(pairs(before)))
