@@ -1,4 +1,10 @@
-"""Documents to packed training sequences: each stage's result is written and read again."""
+"""Documents to packed training sequences: each stage's result is written and read again.
+
+Stages take tables with at least the columns of documents; others, whatever their names, are
+dropped by the first.  Null ids and null, empty or very long texts go through every stage as its
+operator says; repeated rows are copies, of which near-dedup keeps one.  An empty table gives an
+empty result of each stage.
+"""
 
 from __future__ import annotations
 
