@@ -60,7 +60,9 @@ def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+    mixed = mixing.mix(documents(spark, sf_dir), by_shard=True)
+    by_shard = F.array_join(F.col("shard_words").cast("array<string>"), ",").alias("shard_words")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", by_shard)
 
 
 def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +108,8 @@ SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id,
        coalesce(vec_id = component_id, FALSE) AS kept
 FROM v JOIN smallest USING (r) LEFT JOIN n USING (r)"""
 
-_MIX = f"SELECT doc_id, size, source_size, target, taken FROM ({mixing.MIX_SQL})"
+_MIX = f"""SELECT doc_id, size, source_size, target, taken, array_to_string(shard_words, ',') AS shard_words
+FROM ({mixing.MIX_SQL})"""
 
 
 def oracle_sql() -> dict[str, str]:

@@ -424,6 +424,51 @@ def test_quotas_are_of_highest_quotients(spark):
         assert r["quota"] >= 0
 
 
+def test_quotas_of_many_sources(spark):
+    """Equal quotients, sources of one word and one that holds most, against all quotients sorted."""
+    rng = np.random.default_rng(5)
+    sizes = [1, 64, 64, 6400, 6400, 2_000_000] + rng.integers(0, 3000, 300).tolist()
+    rows = [(f"s{p}", p, int(n), float(n * (1 + p % 5) / 3)) for p, n in enumerate(sizes, 1)]
+    rows = [(s, p, n, min(t, 2.0 * n)) for s, p, n, t in rows]
+    table = mixing.quotas(spark.createDataFrame(rows, "source string, place int, source_size long, target double"), shards=3)
+    table = table.collect()
+    due = {r["place"]: (r["target"] * r["blocks"] / r["source_size"] if r["source_size"] else 0.0, r["blocks"]) for r in table}
+    order = sorted((-u / (2 * k - 1), p, k) for p, (u, n) in due.items() if u for k in range(1, 2 * n + 1))
+    for shard in (1, 2, 3):
+        house = int(sum(u for u, _ in due.values()) * shard / 3 + 0.5)
+        seats = Counter(p for _, p, _ in order[:house])
+        assert {r["place"]: r["seats"] for r in table if r["shard"] == shard} == {p: seats[p] for p in due}
+
+
+def test_shards_have_their_quotas(table):
+    """Each shard's rows hold the words said of it, of each document, near its share of the target."""
+    df, _ = table
+    said, made, wanted = Counter(), Counter(), {}
+    for r in mixing.mix(df, by_shard=True, shards=3).collect():
+        assert sum(r["shard_words"]) == r["taken"] and len(r["shard_words"]) == 3
+        wanted[r["source"]] = r["target"]
+        for shard, n in enumerate(r["shard_words"], 1):
+            said[r["doc_id"], r["source"], shard] += n
+    out = mixing.mixed_documents(df, shard="source_shard", shards=3)
+    assert out.columns == [*df.columns, "source_shard"]
+    for r in out.collect():
+        made[r["doc_id"], r["source"], r["source_shard"]] += len(brute.words(r["text"]))
+    assert +said == +made
+    for source, target in wanted.items():
+        for shard in (1, 2, 3):
+            words = sum(n for (_, s, k), n in said.items() if (s, k) == (source, shard))
+            assert abs(words - target / 3) <= 200
+
+
+def test_mixing_spreads_one_id(spark):
+    docs = spark.createDataFrame([(None if i % 3 else 7, "s", f"word{i} and more") for i in range(300)],
+                                 "doc_id long, source string, text string")
+    placed = mixing._placed(docs, "source", "text", "doc_id", {}).collect()
+    assert sorted(r["begins"] for r in placed) == list(range(0, 900, 3))
+    spread = docs.select(mixing._seeded("mix", docs["doc_id"], docs["text"]).substr(1, 3).alias("slice"))
+    assert spread.distinct().count() > 200
+
+
 def test_empty_tables(spark, empty, tmp_path):
     assert packing.pack_documents(empty).isEmpty()
     assert token_count.count_tokens(empty).isEmpty()
