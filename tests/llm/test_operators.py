@@ -187,10 +187,10 @@ def test_lm_scores_do_not_depend_on_lists(given, monkeypatch):
 
 
 def test_lm_counts_are_exact(given, monkeypatch):
-    for name, few in (("BATCH_WORDS", 50), ("CHUNK", 100), ("TASK", 2000)):
+    for name, few in (("BATCH_WORDS", 50), ("CHUNK", 100), ("PART", 2000)):
         monkeypatch.setattr(lm_score, name, few)
     docs, texts = given
-    parts, _, _, chunks = lm_score._trained(docs.withColumn("learn", lm_score.F.lit(True)))
+    parts, _, _, table = lm_score._trained(docs.withColumn("learn", lm_score.F.lit(True)))
     want, last = Counter(), defaultdict(Counter)
     for _, t in texts:
         words = lm_score._tokens((t or "").encode())
@@ -200,9 +200,10 @@ def test_lm_counts_are_exact(given, monkeypatch):
             want.update((k, w[:i], w[i]) for i in range(len(w)))
             for i in range(len(w)):
                 last[k, w[:i][-3:], i >= 3][w[i]] += 1
-    rows = chunks.toArrow()
+    rows = table.toArrow()
     found, three = [], {}
-    for number, (context, byte, n, long, _) in enumerate(lm_score._opened(rows.to_batches())):
+    chunks = (chunk for some, _ in lm_score._opened(rows.to_batches()) for chunk in some)
+    for number, (context, byte, n, long) in enumerate(chunks):
         found += n.tolist()
         for c, b, x in zip(lm_score.shorter(context, 3).tolist(), byte.tolist(), long[0][:, 7].tolist()):
             assert three.setdefault((c, b), (number, x)) == (number, x)  # one chunk has all of a context
@@ -210,6 +211,35 @@ def test_lm_counts_are_exact(given, monkeypatch):
     assert sorted(x[b & 1] for (_, b), (_, x) in three.items()) == sorted(n for c in last.values() for n in c.values())
 
 
+def test_lm_common_endings_are_split_and_counted_whole(given, monkeypatch):
+    def counts():
+        table = lm_score._trained(given[0].withColumn("learn", lm_score.F.lit(True)))[3].toArrow()
+        found, tails = {}, defaultdict(set)
+        for number, (chunks, _) in enumerate(lm_score._opened(table.to_batches())):
+            nodes = np.frombuffer(table.column("node")[number].as_py(), "<i8")
+            at = 0
+            for context, byte, n, long in chunks:
+                for i in range(len(byte)):
+                    found[int(nodes[at]), int(byte[i])] = (int(n[i]), *(t[i].tolist() for t in long))
+                    tails[int(lm_score.shorter(context, 3)[i])].add(number)
+                    at += 1
+        return found, max(map(len, tails.values()))
+
+    monkeypatch.setattr(lm_score, "PART", 2000)
+    want, parts = counts()
+    assert parts == 1
+    monkeypatch.setattr(lm_score, "HOT", 5)
+    got, parts = counts()
+    assert parts > 1 and got == want
+
+
+def test_lm_scores_are_the_same_however_rows_lie(spark, given):
+    scores = lambda df: {r["doc_id"]: r["score"] for r in lm_score.score_texts(df).collect()}
+    want = scores(given[0].repartition(1))
+    got = scores(given[0].repartition(7).sortWithinPartitions(lm_score.F.desc("doc_id")))
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-6) for k in want)
+
+
 def test_lm_beats_word_counts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = [r for r in lm_score.score_texts(docs).collect() if r["held_out"]]
