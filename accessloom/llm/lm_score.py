@@ -1,8 +1,11 @@
 """Scoring texts by online logistic mixing of bit predictors.
 
 The model predicts the bits of each word's bytes and of the blank after it, or of the end mark.
-Predictors look at the last 1, 2, 3 and 5 bytes of the word and at the word so far: how often a
-0 or 1 bit followed.  Contexts start anew with each word, so a text is scored as a bag of words.
+The first ``CROSSING`` bytes of a word are predicted by the last 1, 2, 3 and 5 bytes of the text,
+words before and the blanks between them included, so a text's score depends on the order of its
+words.  One of these is the word so far.  From there on five bytes no longer reach over the blank,
+and predictors look at the last 1, 2, 3 and 5 bytes of the word and at the word so far.  Each says
+how often a 0 or 1 bit followed.  Both kinds of bytes have weights of their own.
 Every context holds the class of the document too: a mixture of ``CLASSES`` word distributions over
 the commonest words of all texts is fitted on all training texts, each round in Spark tasks, and a
 text's score is that of its likeliest class, with the probability of the class itself counted in.
@@ -20,9 +23,11 @@ far in a class, and the byte that follows.  The distinct edges of all words are
 They meet by their last three bytes, so a part has all that counts for its longer contexts; common
 endings are split, and their parts given the sums.  Only the contexts of up to two bytes, which the
 alphabet bounds, are sent to every task.  Edges' scores
-go back to the words' batches and are added up.  Texts get the scores of their words from a list of
-the commonest ones, and by a join for all others.  Edges meet by a 64-bit hash of the word so far,
-the join goes by one of class and word.
+go back to the words' batches and are added up.  Edges that reach over a blank are counted from the
+texts themselves and are a table of their own, dealt and learned from in the same way.  Texts get the
+scores of their words and of the edges between them from lists of the commonest ones, and by a join for
+all others.  Edges within words meet by a 64-bit hash of the word so far, those between words by the
+context itself, and the join goes by a hash of class and word, or by context and byte.
 
 Null texts are empty: one end token.  A null id counts as the text '' for the held-out rule.
 Repeated rows are learned from and scored each.  Without training texts every bit has
@@ -55,6 +60,10 @@ ORDERS = (1, 2, 3, 5)
 DIGIT, SPAN = 257, 257**5
 #: The commonest words of classes, whose scores workers keep, but for longer ones; all others are joined.
 COMMON, COMMON_BYTES = 100_000, 256
+#: Bytes of a word whose last five bytes reach over the blank before it; their edges: the commonest ones
+#: that workers keep, those in a part, those counted before they are handed on.
+CROSSING, COMMON_CROSSINGS, CROSSING_PART, CROSSINGS_HELD = 4, 300_000, 200_000, 1 << 21
+BLANK = 33  # the digit of a blank
 #: Bytes of text cut into words at a time; a longer text is cut by itself.
 CUT = 1 << 23
 #: Words and bytes in a batch; edges counted at once; bytes of words whose edges are a part; edges
@@ -253,6 +262,10 @@ class Model:
         right = np.where(bits.bit.ravel() == 1, p, 1 - p)
         return np.log10(np.maximum(right, 1e-9)).reshape(-1, 8).sum(axis=1)
 
+    def edge_scores(self, context: np.ndarray, byte: np.ndarray, long: list[np.ndarray]) -> np.ndarray:
+        parts = [slice(at, at + STEP) for at in range(0, len(byte), STEP)]
+        return np.concatenate([self.scores(Bits.of_edges(byte[p], context[p], [t[p] for t in long])) for p in parts])
+
     def learn(self, bits: Bits, counts: np.ndarray, squares: np.ndarray, hits: np.ndarray, tries: np.ndarray) -> None:
         """Online over some edges; weights, squares, hits and tries go on from what they were."""
         found, gate = self.inputs(bits, own=True)
@@ -499,6 +512,73 @@ def _word_counts(cuts: DataFrame, classes: Classes) -> DataFrame:
     return counted.groupBy("class", "word").agg(F.sum("n").alias("n"), F.sum("uses").alias("uses"))
 
 
+def _crossings(cut: Cut, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The kind of each token, and for each kind its first ``CROSSING`` edges as context * 256 + byte, -1 where
+    there are fewer.  Tokens of a kind share the text's class, the five bytes before and their beginning."""
+    offsets, data = (np.frombuffer(x, t) for x, t in zip(cut.words.buffers()[1:], ("<i8", np.uint8)))
+    start, end = offsets[: len(cut.words)], offsets[1 : len(cut.words) + 1]
+    size, power = end - start, DIGIT ** np.arange(6, dtype=np.int64)
+    head, last = np.full((len(size), CROSSING), -1, np.int64), np.zeros(len(size), np.int64)
+    for j in range(CROSSING):
+        inside = j < size
+        head[:, j] = np.where(inside, data[np.where(inside, start + j, 0)], np.where(j == size, BLANK - 1, -1))
+        last += np.where(inside, data[np.where(inside, end - 1 - j, 0)].astype(np.int64) + 1, 0) * power[j]
+    head[-1, 1:] = -1  # nothing follows the end mark
+    n = len(cut.code) - cut.n
+    code, doc, size = cut.code[:n], cut.doc[:n], np.minimum(size, 4)[cut.code[:n]]
+    begins = np.append(True, doc[1:] != doc[:-1])[:n]
+
+    def before(tail: np.ndarray) -> np.ndarray:
+        return np.where(begins, 0, np.append(0, tail)[:n])
+
+    tail = last[code]  # the last four bytes of the text after each word
+    for _ in range(2):  # they reach over two blanks at most
+        tail = last[code] + power[size] * ((before(tail) * DIGIT + BLANK) % power[4 - size])
+    tokens = np.bincount(doc, minlength=cut.n)
+    at_end = np.where(tokens > 0, np.append(0, tail)[np.cumsum(tokens)], 0)
+    context = k[cut.doc] * SPAN + np.append(before(tail), at_end) * DIGIT + BLANK
+    _, of_head = np.unique((head + 1) @ power[:CROSSING], return_inverse=True)
+    _, of_context = np.unique(context, return_inverse=True)
+    _, first, kind = np.unique(of_context * (of_head.max() + 1) + of_head[cut.code], return_index=True, return_inverse=True)
+    context, head = context[first], head[cut.code[first]]
+    keys = np.empty(head.shape, np.int64)
+    for j in range(CROSSING):
+        keys[:, j] = np.where(head[:, j] >= 0, context * 256 + head[:, j], -1)
+        context = context // SPAN * SPAN + (context % SPAN * DIGIT + head[:, j] + 1) % SPAN
+    return kind, keys
+
+
+def _crossing_edges(cuts: DataFrame, classes: Classes) -> DataFrame:
+    """The distinct edges between words of all texts, and how often those to learn from have them."""
+
+    def total(held: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        keys, n = map(np.concatenate, zip(*held))
+        keys, of = np.unique(keys, return_inverse=True)
+        return keys, np.bincount(of, n)
+
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(held[0][0]), pa.array(held[0][1].astype(np.int64))], names=["key", "n"])
+
+        held = []
+        for cut in _read_cuts(source):
+            kind, keys = _crossings(cut, classes.of_all(cut))
+            n = np.bincount(kind, cut.learn[cut.doc], len(keys))
+            held.append((keys[keys >= 0], np.repeat(n, (keys >= 0).sum(axis=1))))
+            held = [total([*held[:-1], total(held[-1:])])]
+            if len(held[0][0]) > CROSSINGS_HELD:
+                yield out()
+                held = []
+        if held:
+            yield out()
+
+    counted = cuts.mapInArrow(batches, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    context, byte = F.shiftright("key", 8), F.col("key").bitwiseAND(F.lit(255))
+    return counted.select(
+        context.alias("context"), context.alias("node"), byte.cast("short").alias("byte"), "n",
+        context.alias("batch"), byte.cast("int").alias("local"))
+
+
 def _batched(counts: DataFrame, n_words: int) -> DataFrame:
     """Neighbours in the order of class and word, a batch a row: their beginnings are shared."""
 
@@ -657,7 +737,7 @@ def _on_worker(name: str, sent) -> Model:
 
 
 def train(texts: DataFrame) -> tuple[dict, DataFrame]:
-    """The weights, classes and short contexts, and the table (word, n) of all words.
+    """The weights, classes and short contexts within words and between them, and the table (word, n) of all words.
 
     ``texts`` has doc_id and text.
     """
@@ -673,10 +753,24 @@ def _trained(rows: DataFrame, cuts: DataFrame | None = None) -> tuple[dict, Data
     size = counts.agg(F.count("*").alias("words"), F.sum(F.octet_length("word") + 1).alias("bytes")).first()
     batched = stored(_batched(counts, size["words"]), "batches")
     edges = stored(_edges(batched), "edges")
-    tails = edges.groupBy(F.expr(_TAIL).alias("tail"), "byte").agg(F.sum("n").alias("n"), F.count("*").alias("edges"))
-    tails = stored(tails, "tails")
+    tails = _tails(edges)
     parts = stored(_parts(edges, tails, 1 + (size["bytes"] or 0) // PART), "parts")
     sums = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
+    crossing = stored(_crossing_edges(cuts, classes), "crossing_edges")
+    between = _tails(crossing)
+    crossings = stored(_parts(crossing, between, 1 + crossing.count() // CROSSING_PART), "crossings")
+    return {"model": _learned(parts, tails, DIGIT ** (CROSSING - 1)), "classes": classes, "total": sums["n"] or 0,
+            "distinct": sums["v"], "crossing": _learned(crossings, between, 0), "crossings": crossings}, words, batched, parts
+
+
+def _tails(edges: DataFrame) -> DataFrame:
+    """How often a byte follows the last three, and how many edges that are."""
+    tails = edges.groupBy(F.expr(_TAIL).alias("tail"), "byte").agg(F.sum("n").alias("n"), F.count("*").alias("edges"))
+    return stored(tails, "tails")
+
+
+def _learned(parts: DataFrame, tails: DataFrame, least: int) -> dict:
+    """The model of all edges of the parts, learned from those whose last bytes are ``least`` or more as a number."""
     two = F.expr(f"(tail - tail % {SPAN} + (tail % {SPAN}) % {DIGIT ** 2}) * 256 + byte")
     low = tails.groupBy(two.alias("low")).agg(F.sum("n").alias("n")).where("n > 0").toArrow()
     keys = low.column("low").to_numpy()
@@ -684,11 +778,11 @@ def _trained(rows: DataFrame, cuts: DataFrame | None = None) -> tuple[dict, Data
     model = {"low": keys[order], "low_n": low.column("n").to_numpy()[order],
              "weights": np.full((GATES, INPUTS), 0.3), "refined": _flat_table()}
     for _ in range(LESSONS):
-        _lesson(parts, model)
-    return {"model": model, "classes": classes, "total": sums["n"] or 0, "distinct": sums["v"]}, words, batched, parts
+        _lesson(parts, model, least)
+    return model
 
 
-def _lesson(parts: DataFrame, model: dict) -> None:
+def _lesson(parts: DataFrame, model: dict, least: int) -> None:
     """One round of learning: the weights go on through all chunks of a part and are averaged by
     tokens with those of the other parts, so what is learned depends neither on the number of
     cores nor on how rows lie.  The refinement is that of the last round."""
@@ -701,6 +795,7 @@ def _lesson(parts: DataFrame, model: dict) -> None:
             model = _on_worker(name, sent)
             model.weights = sent.value["model"]["weights"].copy()
             for number, (context, byte, n, long) in enumerate(chunks):
+                n = np.where(context % SPAN >= least, n, 0)
                 order = np.random.default_rng(number).permutation(np.flatnonzero(n))
                 for at in range(0, len(order), STEP):
                     some = np.sort(order[at : at + STEP])
@@ -726,17 +821,14 @@ def _lesson(parts: DataFrame, model: dict) -> None:
 # ---------------------------------------------------------------- scoring
 
 def _word_scores(batched: DataFrame, parts: DataFrame, model: dict) -> DataFrame:
-    """(class, word, uses, score): edges are scored in their parts and added up in their batches."""
+    """(class, word, uses, score): edges are scored in their parts and added up in their batches.
+    Scores are those of the bytes from which on contexts don't reach over the blank before the word."""
     sent, name = batched.sparkSession.sparkContext.broadcast({"model": model}), uuid.uuid4().hex
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunks, (of, batch, local) in _opened(source):
-            model, out = _on_worker(name, sent), []
-            for context, byte, _, long in chunks:
-                for at in range(0, len(byte), STEP):
-                    some = slice(at, at + STEP)
-                    out.append(model.scores(Bits.of_edges(byte[some], context[some], [t[some] for t in long])))
-            x = np.concatenate(out)[of]
+            model = _on_worker(name, sent)
+            x = np.concatenate([model.edge_scores(context, byte, long) for context, byte, _, long in chunks])[of]
             yield pa.RecordBatch.from_arrays([pa.array(batch), pa.array(local), pa.array(x)], names=["batch", "local", "x"])
 
     def add(words: pd.DataFrame, scores: pd.DataFrame) -> pd.DataFrame:
@@ -744,15 +836,29 @@ def _word_scores(batched: DataFrame, parts: DataFrame, model: dict) -> DataFrame
         bits = Bits(given, classes)
         x = np.empty(len(scores))
         x[scores["local"].to_numpy()] = scores["x"].to_numpy()
+        x = np.where(bits.context % SPAN >= DIGIT ** (CROSSING - 1), x[bits.edges()[1]], 0)
         return pd.DataFrame({
             "class": classes, "word": given, "uses": np.frombuffer(words["uses"].iloc[0], "<i8"),
-            "score": np.add.reduceat(x[bits.edges()[1]], bits.starts)})
+            "score": np.add.reduceat(x, bits.starts)})
 
     scores = parts.mapInArrow(batches, "batch long, local int, x double")
     return batched.groupBy("batch").cogroup(scores.groupBy("batch")).applyInPandas(
         add, "class int, word binary, uses long, score double")
 
 
+def _crossing_scores(crossings: DataFrame, model: dict) -> DataFrame:
+    """(w, n, x) of the edges between words: context * 256 + byte, how often learned, score."""
+    sent, name = crossings.sparkSession.sparkContext.broadcast({"model": model}), uuid.uuid4().hex
+
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunks, _ in _opened(source):
+            for context, byte, n, long in chunks:
+                x = _on_worker(name, sent).edge_scores(context, byte, long)
+                yield pa.RecordBatch.from_arrays([pa.array(context * 256 + byte), pa.array(n), pa.array(x)], names=["w", "n", "x"])
+
+    return crossings.mapInArrow(batches, "w long, n long, x double")
+
+
 def score_texts(
     docs: DataFrame, number: str = "doc_id", text: str = "text", held_out: Column | None = None
 ) -> DataFrame:
@@ -774,7 +880,11 @@ def score_texts(
     below = total + 0.5 * (made["distinct"] + 1)
     held = Held.of(top, below)
     least = pc.min(top.column("uses")).as_py() or 0
-    sent = docs.sparkSession.sparkContext.broadcast((classes, held))
+    crossing = stored(_crossing_scores(made["crossings"], made["crossing"]), "crossing_scores")
+    between = crossing.orderBy(F.col("n").desc(), "w").limit(COMMON_CROSSINGS).toArrow().sort_by("w")
+    seldom = pc.min(between.column("n")).as_py() or 0
+    between = between.column("w").to_numpy(), between.column("x").to_numpy()
+    sent = docs.sparkSession.sparkContext.broadcast((classes, held, between))
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = TaskContext.get().partitionId() << 40
@@ -787,8 +897,9 @@ def score_texts(
     schema = ("doc_id long, held_out boolean, uid long, n_tokens long, n_known long, base_score double, "
               "score double, rare array<long>, times array<int>")
     scored = stored(cuts.mapInArrow(batches, schema), "scored")
-    # What the commonest words don't cover gets its scores and counts by a join.
-    uncommon = _hashed(pairs.where((F.col("uses") <= least) | ~short))
+    # What the commonest words and edges don't cover gets its scores and counts by a join.
+    uncommon = _hashed(pairs.where((F.col("uses") <= least) | ~short)).unionByName(
+        crossing.where(F.col("n") <= seldom).withColumn("n", F.lit(None).cast("long")))
     rare = scored.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("r"))
     found = rare.select("uid", F.col("r.rare").alias("w"), F.col("r.times").alias("k")).join(uncommon, "w")
     found = found.groupBy("uid").agg(
@@ -823,8 +934,8 @@ class Held:
                    np.log10((n + 0.5) / below), (n > 0).astype(float))
 
 
-def _scored(cut: Cut, classes: Classes, held: Held) -> list[pa.Array]:
-    """n_tokens, n_known, base, score, hashes of words that aren't held, their counts."""
+def _scored(cut: Cut, classes: Classes, held: Held, between: tuple[np.ndarray, np.ndarray]) -> list[pa.Array]:
+    """n_tokens, n_known, base, score, words (hashes) and edges between words that aren't held, their counts."""
     k, width = classes.of_all(cut), len(cut.words)
     at = np.full((CLASSES, width), -1, np.int64)
     before = 0
@@ -842,11 +953,32 @@ def _scored(cut: Cut, classes: Classes, held: Held) -> list[pa.Array]:
     distinct, of = np.unique(k[rare_doc] * width + word, return_inverse=True)
     named = cut.words.take(pa.array(distinct % width)).to_pylist()
     hashes = np.array([pair_hash(c, w) for c, w in zip((distinct // width).tolist(), named)], np.int64)
-    ends = pa.array(np.searchsorted(rare_doc, np.arange(cut.n + 1)).astype(np.int32))
+    crossed, more = _crossing_sums(cut, k, *between)
+    rare_doc, rare, times = map(np.concatenate, zip((rare_doc, hashes[of], times), more))
+    order = np.argsort(rare_doc, kind="stable")
+    ends = pa.array(np.searchsorted(rare_doc[order], np.arange(cut.n + 1)).astype(np.int32))
     return [
         pa.array(np.bincount(cut.doc, minlength=cut.n)), pa.array(known.astype(np.int64)), pa.array(base),
-        pa.array(score + classes.prior[k]), pa.ListArray.from_arrays(ends, pa.array(hashes[of])),
-        pa.ListArray.from_arrays(ends, pa.array(times.astype(np.int32)))]
+        pa.array(score + crossed + classes.prior[k]), pa.ListArray.from_arrays(ends, pa.array(rare[order])),
+        pa.ListArray.from_arrays(ends, pa.array(times[order].astype(np.int32)))]
+
+
+def _crossing_sums(cut: Cut, k: np.ndarray, listed: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, tuple]:
+    """Each text's sum over the listed edges between its words, and (text, edge, times) of all others."""
+    kind, keys = _crossings(cut, k)
+    at = np.searchsorted(listed, keys)
+    at[at == len(listed)] = 0
+    known = listed[at] == keys if len(listed) else np.zeros(keys.shape, bool)
+    sums = np.where(known, score[at], 0).sum(axis=1) if len(listed) else np.zeros(len(keys))
+    rare, doc, edge = ~known & (keys >= 0), [], []
+    for j in range(CROSSING):
+        some = rare[kind, j]
+        doc.append(cut.doc[some])
+        edge.append(keys[kind[some], j])
+    distinct, of = np.unique(np.concatenate(edge), return_inverse=True)
+    pairs, times = np.unique(np.concatenate(doc) * max(len(distinct), 1) + of, return_counts=True)
+    more = pairs // max(len(distinct), 1), distinct[pairs % max(len(distinct), 1)], times
+    return np.bincount(cut.doc, sums[kind], cut.n), more
 
 
 def _hashed(pairs: DataFrame) -> DataFrame:

@@ -246,6 +246,50 @@ def test_lm_beats_word_counts(spark):
     assert sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
 
 
+def test_lm_scores_depend_on_the_order_of_words(spark):
+    docs = [(i, "the cat sat on a red mat " * 3) for i in range(60)]
+    docs += [(1000, "the cat sat on a red mat"), (1001, "mat red a on sat cat the")]
+    got = {r["doc_id"]: r for r in lm_score.score_texts(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[1000]["base_score"] == pytest.approx(got[1001]["base_score"])
+    assert got[1000]["score"] > got[1001]["score"] + 5
+
+
+def test_lm_edges_between_words_are_exact(table, monkeypatch):
+    monkeypatch.setattr(lm_score, "CROSSINGS_HELD", 50)
+    docs, texts = table
+    parts = lm_score._trained(docs.withColumn("learn", lm_score.F.lit(True)))[0]
+    want, three = Counter(), Counter()
+    for _, t in texts:
+        words = lm_score._tokens((t or "").encode())
+        k, before = parts["classes"].of(words), b""
+        for w in words:
+            w = w if w == lm_score.END else w + b" "
+            for i in range(min(len(w), lm_score.CROSSING)):
+                last = (before + b" " + w[:i])[-5:]
+                number = k * lm_score.SPAN + sum((b + 1) * lm_score.DIGIT**j for j, b in enumerate(reversed(last)))
+                want[number, w[i]] += 1
+                three[int(lm_score.shorter(np.int64(number), 3)), w[i]] += 1
+            before = (before + b" " + w[:-1])[-5:]  # a text begins with a blank
+    found = {}
+    for chunks, _ in lm_score._opened(parts["crossings"].toArrow().to_batches()):
+        for context, byte, n, long in chunks:
+            for i in range(len(byte)):
+                key = int(context[i]), int(byte[i])
+                assert key not in found
+                found[key] = int(n[i])
+                assert long[0][i, 7, byte[i] & 1] == three[int(lm_score.shorter(context[i], 3)), byte[i]]
+                assert long[1][i, 7, byte[i] & 1] == n[i]
+    assert found == want
+
+
+def test_lm_scores_do_not_depend_on_listed_edges(given, monkeypatch):
+    got = lambda: {r["doc_id"]: (r["score"], r["base_score"], r["n_known"]) for r in lm_score.score_texts(given[0]).collect()}
+    want = got()
+    monkeypatch.setattr(lm_score, "COMMON_CROSSINGS", 7)
+    few = got()
+    assert few.keys() == want.keys() and all(few[k] == pytest.approx(want[k], rel=1e-6) for k in want)
+
+
 def test_lm_probabilities_sum_to_one(spark, odd):
     parts, _ = lm_score.train(odd[0])
     model = lm_score.Model(**parts["model"]).prepared()
