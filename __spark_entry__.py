@@ -846,15 +846,15 @@ def _(spark, sf):
 
 
 def _queued(spark: SparkSession, sf: str, times_sent: int = 1) -> str:
-    """A queue of envelopes in text files, each sent as often as asked for."""
+    """A queue of envelopes in compressed text files, each sent as often as asked for."""
     tagged = _tagged_lines(spark, sf).withColumn(
         ln.SENT_KEY, F.concat_ws(" ", "node_id", F.monotonically_increasing_id().cast("string")))
     envelopes = ln.to_envelopes(tagged, [fx.format_named(n) for n in _MIXED])
     once = fresh_path(spark, "sent")
-    envelopes.write.text(once)
+    envelopes.write.text(once, compression="lz4")
     path = fresh_path(spark, "queue")
     for _ in range(times_sent):
-        spark.read.text(once).repartition(4).write.mode("append").text(path)
+        spark.read.text(once).repartition(4).write.mode("append").text(path, compression="lz4")
     return path
 
 

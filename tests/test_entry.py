@@ -28,3 +28,11 @@ def test_query(spark, db, sf_dir, name):
     if sql is not None:
         rel = db.execute(sql)
         assert got == _rows([d[0] for d in rel.description], rel.fetchall())
+
+
+def test_a_queue_takes_a_fraction_of_its_text(spark, sf_dir):
+    path = entry._queued(spark, sf_dir, times_sent=3)
+    sent = spark.read.text(path).groupBy("value").count().collect()
+    assert len(sent) == spark.read.parquet(f"{sf_dir}/events.parquet").count() and {r["count"] for r in sent} == {3}
+    files = spark.read.format("binaryFile").load(path).selectExpr("count(*) AS n", "sum(length) AS bytes").first()
+    assert files.n == 12 and files.bytes < sum(3 * len(r.value.encode()) for r in sent) / 3
