@@ -31,6 +31,8 @@ from accessloom.sources.tables import OUTCOME, PARSED, PERIOD, REJECTED, with_fo
 
 REWRITTEN, VERSIONS = "_rewritten", "_versions"
 TARGET = 128 << 20
+#: A file gets about so many rows at most, as a task sorts a file's rows: files may hold rows of any size in few bytes.
+MOST_ROWS = 1 << 20
 _FILE = "file string, outcome string, period string, length long, modified timestamp"
 
 
@@ -55,8 +57,10 @@ def live_files(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumn("rewritten", F.lit(False)).unionByName(new.withColumn("rewritten", F.lit(True)))
 
 
-def _rows_of(spark: SparkSession, path: str, files: DataFrame, schema: StructType | None) -> DataFrame | None:
-    """The rows of some files, whose names go through the driver as in any scan."""
+def _rows_of(
+    spark: SparkSession, path: str, files: DataFrame, schema: StructType | None, named: bool = False
+) -> DataFrame | None:
+    """The rows of some files, whose names go through the driver as in any scan; ``named`` adds each row's ``__file``."""
     found = None
     for r in (False, True):
         names = [x.file for x in files.filter(F.col("rewritten") == r).select("file").collect()]
@@ -68,11 +72,23 @@ def _rows_of(spark: SparkSession, path: str, files: DataFrame, schema: StructTyp
             rows = reader.schema(full).parquet(*names)
         else:
             rows = reader.option("mergeSchema", "true").parquet(*names)
+        if named:
+            rows = rows.withColumn("__file", F.col("_metadata.file_name"))
         rows = rows.drop("job").withColumns({c: F.col(c).cast("string") for c in (OUTCOME, PERIOD)})
         found = rows if found is None else found.unionByName(rows, allowMissingColumns=True)
     return found
 
 
+def _with_counts(spark: SparkSession, path: str, files: DataFrame, schema: StructType | None) -> DataFrame:
+    """Some files with their numbers of ``rows``, which their footers tell."""
+    found = _rows_of(spark, path, files, schema, named=True)
+    if found is None:
+        return files.withColumn("rows", F.lit(0).cast("long"))
+    counts = found.groupBy(F.col(OUTCOME).alias("outcome"), F.col(PERIOD).alias("period"), "__file").agg(F.count("*").alias("rows"))
+    named = files.withColumn("__file", F.substring_index("file", "/", -1))
+    return named.join(counts, ["outcome", "period", "__file"], "left").select(*files.columns, F.coalesce("rows", F.lit(0)).alias("rows"))
+
+
 def rewrite(
     spark: SparkSession, path: str, chosen: DataFrame, make: Callable[[DataFrame], DataFrame], *,
     schema: StructType | None = None, options: dict[str, str] | None = None,
@@ -132,18 +148,21 @@ def compact(
 ) -> int:
     """Gather small files: those under half the target, in periods that have at least two more than will hold them.
 
-    Rows are dealt by period and ranges of time and sorted, so a period's files follow each other
+    A file holds ``target_bytes`` or about ``MOST_ROWS`` rows, whichever is less.  Files that a rewrite has filled to
+    half of either are left alone.  Rows are dealt by period and ranges of time and sorted, so a period's files follow each other
     and questions about an hour skip most of them; a period gets one file more than it needs
     where a range begins inside it.
     """
     files = live_files(spark, path)
-    small = files.filter(F.col("length") < target_bytes / 2)
+    small = _with_counts(spark, path, files.filter(F.col("length") < target_bytes / 2), schema)
+    small = small.filter(~F.col("rewritten") | (F.col("rows") < MOST_ROWS / 2)).persist()
     keys = ["outcome", "period"]
-    crowded = small.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.ceil(F.sum("length") / target_bytes).alias("needed")).filter("n > needed + 1")
+    needed = F.greatest(F.ceil(F.sum("length") / target_bytes), F.ceil(F.sum("rows") / MOST_ROWS))
+    crowded = small.groupBy(*keys).agg(F.count("*").alias("n"), needed.alias("needed")).filter("n > needed + 1")
     chosen = small.join(crowded.select(*keys), keys, "left_semi").select(files.columns)
     parts = crowded.agg(F.sum("needed")).first()[0]
     if not parts:
+        small.unpersist()
         return _state(spark, path)[0]
 
     def gathered(rows: DataFrame) -> DataFrame:
@@ -151,7 +170,10 @@ def compact(
         spread = [F.xxhash64("ip")] if "ip" in rows.columns else []  # a second may be busy
         return rows.repartitionByRange(int(parts), *order, *spread).sortWithinPartitions(*order)
 
-    return rewrite(spark, path, chosen, gathered, schema=schema)
+    try:
+        return rewrite(spark, path, chosen, gathered, schema=schema)
+    finally:
+        small.unpersist()
 
 
 def replay_rejects(
@@ -225,11 +247,12 @@ def cluster(
     that can hold it.
     """
     chosen = live_files(spark, path).filter((F.col("outcome") == PARSED) & F.col("period").isin(list(periods)))
-    held = chosen.agg(F.sum("length")).first()[0]
+    held, rows = _with_counts(spark, path, chosen, schema).agg(F.sum("length"), F.sum("rows")).first()
     if not held:
         return _state(spark, path)[0]
+    parts = max(-(-held // target_bytes), -(-rows // MOST_ROWS))
     by = {"ip": ip_to_long(F.col("ip")), "status_code": F.col("status_code"), "timestamp": F.col("timestamp")}
     bloom = {"parquet.bloom.filter.enabled#ip": "true", "parquet.bloom.filter.expected.ndv#ip": str(addresses)}
     return rewrite(
-        spark, path, chosen, lambda rows: clustered(rows, by, -(-held // target_bytes)), schema=schema,
+        spark, path, chosen, lambda rows: clustered(rows, by, parts), schema=schema,
         options=bloom | (options or {}))

@@ -76,6 +76,38 @@ def test_compacted_files_follow_each_other(spark, streamed):
     assert all(a[2] <= b[1] for a, b in zip(spans, spans[1:]) if a[0] == b[0])
 
 
+def test_compacted_files_hold_so_many_rows_at_most(spark, streamed, monkeypatch):
+    table, feed = streamed
+    monkeypatch.setattr(pb, "MOST_ROWS", 250)
+    before = plain(read_access(spark, table), *KEY)
+
+    def held():
+        files = glob.glob(f"{table}/_rewritten/*/outcome=parsed/**/*.parquet", recursive=True)
+        return {f: pq.read_metadata(f).num_rows for f in files}
+
+    assert len(before) > 500 and pb.compact(spark, table) == 1
+    first = held()
+    assert sum(first.values()) == len(before) and max(first.values()) < 2 * 250
+    assert plain(pb.read_published(spark, table), *KEY) == before
+    assert pb.compact(spark, table) == 1  # they are full
+    feed([5, 6, 7])
+    pb.compact(spark, table)
+    live = {r.file.split("/")[-1] for r in pb.live_files(spark, table).filter("rewritten").collect()}
+    assert {f.split("/")[-1] for f, n in first.items() if n >= 125} <= live
+    assert plain(pb.read_published(spark, table), *KEY) == plain(read_access(spark, table), *KEY)
+
+
+def test_clustered_files_hold_so_many_rows_at_most(spark, streamed, monkeypatch):
+    table, _ = streamed
+    monkeypatch.setattr(pb, "MOST_ROWS", 250)
+    before = plain(read_access(spark, table), *KEY)
+    pb.cluster(spark, table, periods=["2024_01"])
+    files = glob.glob(f"{table}/_rewritten/*/outcome=parsed/**/*.parquet", recursive=True)
+    rows = [pq.read_metadata(f).num_rows for f in files]
+    assert sum(rows) == len(before) and max(rows) < 2 * 250
+    assert plain(pb.read_published(spark, table), *KEY) == before
+
+
 def test_readers_see_old_or_new(spark, streamed, monkeypatch):
     """Reads all through a rewrite, and after one that dies before it is published."""
     table, _ = streamed
