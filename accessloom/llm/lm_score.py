@@ -75,7 +75,7 @@ PRIOR = 0.05
 CLASSES, WORD_BLOCK, CLASS_WORDS, MOST_CLASS_WORDS, TEXTS_A_WORD = 6, 1 << 10, 2000, 1 << 16, 16
 #: Rounds of all starts, most rounds of the likeliest one, and the least gain of a round.
 STARTS, TRIALS, ROUNDS, GAIN = 2, 3, 15, 1e-3
-RATE, LESSONS = 0.1, 2
+RATE, LESSONS, SUMS = 0.1, 2, 32
 GATES, INPUTS, BUCKETS = 32, len(ORDERS) + 2, 33
 _LETTERS = np.random.default_rng(3).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -537,10 +537,11 @@ def _crossings(cut: Cut, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     tokens = np.bincount(doc, minlength=cut.n)
     at_end = np.where(tokens > 0, np.append(0, tail)[np.cumsum(tokens)], 0)
     context = k[cut.doc] * SPAN + np.append(before(tail), at_end) * DIGIT + BLANK
-    _, of_head = np.unique((head + 1) @ power[:CROSSING], return_inverse=True)
-    _, of_context = np.unique(context, return_inverse=True)
-    _, first, kind = np.unique(of_context * (of_head.max() + 1) + of_head[cut.code], return_index=True, return_inverse=True)
-    context, head = context[first], head[cut.code[first]]
+    of_head, heads = pd.factorize((head + 1) @ power[:CROSSING])
+    of_context, contexts = pd.factorize(context)
+    kind, both = pd.factorize(of_context * len(heads) + of_head[cut.code])
+    context = contexts[both // len(heads)]
+    head = (heads[both % len(heads)][:, None] // power[:CROSSING]) % DIGIT - 1
     keys = np.empty(head.shape, np.int64)
     for j in range(CROSSING):
         keys[:, j] = np.where(head[:, j] >= 0, context * 256 + head[:, j], -1)
@@ -553,8 +554,8 @@ def _crossing_edges(cuts: DataFrame, classes: Classes) -> DataFrame:
 
     def total(held: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
         keys, n = map(np.concatenate, zip(*held))
-        keys, of = np.unique(keys, return_inverse=True)
-        return keys, np.bincount(of, n)
+        of, keys = pd.factorize(keys)
+        return keys, np.bincount(of, n, len(keys))
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> pa.RecordBatch:
@@ -564,8 +565,7 @@ def _crossing_edges(cuts: DataFrame, classes: Classes) -> DataFrame:
         for cut in _read_cuts(source):
             kind, keys = _crossings(cut, classes.of_all(cut))
             n = np.bincount(kind, cut.learn[cut.doc], len(keys))
-            held.append((keys[keys >= 0], np.repeat(n, (keys >= 0).sum(axis=1))))
-            held = [total([*held[:-1], total(held[-1:])])]
+            held = [total([*held, (keys[keys >= 0], np.repeat(n, (keys >= 0).sum(axis=1)))])]
             if len(held[0][0]) > CROSSINGS_HELD:
                 yield out()
                 held = []
@@ -804,13 +804,17 @@ def _lesson(parts: DataFrame, model: dict, least: int) -> None:
                 share += float(n.sum())
             if share:
                 flat = np.concatenate([(model.weights * share).ravel(), hits.ravel(), tries.ravel(), [share]])
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(flat)), pa.int32()), pa.array(flat)], names=["k", "x"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([TaskContext.get().partitionId() % SUMS], pa.int32()), pa.array([flat.tobytes()], pa.binary())],
+                    names=["k", "x"])
+
+    def total(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"k": [key[0]], "x": [sum(map(np.frombuffer, frame["x"])).tobytes()]})
 
-    learned = parts.mapInArrow(batches, "k int, x double")
-    rows = learned.groupBy("k").agg(F.sum("x").alias("x")).collect()  # as many as the model has numbers
+    learned = parts.mapInArrow(batches, "k int, x binary").groupBy("k").applyInPandas(total, "k int, x binary")
+    rows = [np.frombuffer(r["x"]) for r in learned.collect()]  # at most ``SUMS``, each as long as the model
     if rows:
-        flat = np.zeros(len(rows))
-        flat[[r["k"] for r in rows]] = [r["x"] for r in rows]
+        flat = sum(rows)
         w, t = GATES * INPUTS, GATES * BUCKETS
         model["weights"] = (flat[:w] / flat[-1]).reshape(GATES, INPUTS)
         hits, tries = flat[w : w + t].reshape(GATES, BUCKETS), flat[w + t : w + 2 * t].reshape(GATES, BUCKETS)
@@ -881,7 +885,7 @@ def score_texts(
     held = Held.of(top, below)
     least = pc.min(top.column("uses")).as_py() or 0
     crossing = stored(_crossing_scores(made["crossings"], made["crossing"]), "crossing_scores")
-    between = crossing.orderBy(F.col("n").desc(), "w").limit(COMMON_CROSSINGS).toArrow().sort_by("w")
+    between = crossing.orderBy(F.col("n").desc(), "w").limit(COMMON_CROSSINGS).toArrow()
     seldom = pc.min(between.column("n")).as_py() or 0
     between = between.column("w").to_numpy(), between.column("x").to_numpy()
     sent = docs.sparkSession.sparkContext.broadcast((classes, held, between))
@@ -966,16 +970,15 @@ def _scored(cut: Cut, classes: Classes, held: Held, between: tuple[np.ndarray, n
 def _crossing_sums(cut: Cut, k: np.ndarray, listed: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, tuple]:
     """Each text's sum over the listed edges between its words, and (text, edge, times) of all others."""
     kind, keys = _crossings(cut, k)
-    at = np.searchsorted(listed, keys)
-    at[at == len(listed)] = 0
-    known = listed[at] == keys if len(listed) else np.zeros(keys.shape, bool)
-    sums = np.where(known, score[at], 0).sum(axis=1) if len(listed) else np.zeros(len(keys))
+    at = _places(pa.array(keys.ravel()), pa.array(listed)).reshape(keys.shape)
+    known = at >= 0
+    sums = np.append(score, 0.0)[at].sum(axis=1)  # -1 is the last
     rare, doc, edge = ~known & (keys >= 0), [], []
     for j in range(CROSSING):
         some = rare[kind, j]
         doc.append(cut.doc[some])
         edge.append(keys[kind[some], j])
-    distinct, of = np.unique(np.concatenate(edge), return_inverse=True)
+    of, distinct = pd.factorize(np.concatenate(edge))
     pairs, times = np.unique(np.concatenate(doc) * max(len(distinct), 1) + of, return_counts=True)
     more = pairs // max(len(distinct), 1), distinct[pairs % max(len(distinct), 1)], times
     return np.bincount(cut.doc, sums[kind], cut.n), more
