@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from accessloom.llm.common import stored
 from accessloom.llm.token_files import ids_crc32
-from accessloom.llm.tokens import encoder
+from accessloom.llm.tokens import REMEMBERED, encoder
 
 #: Pieces in a shard; bounds the memory and time of a task.
 SHARD_PIECES = 4096
@@ -198,15 +198,16 @@ def place(pieces: DataFrame, capacity: int, shard_pieces: int = SHARD_PIECES) ->
 def token_pieces(
     docs: DataFrame, capacity: int = 4096, number: str = "doc_id", text: str = "text",
     tokenizer: str | None = None, end_id: int = 1, digest: bool = False,
+    remembered: int = REMEMBERED,
 ) -> DataFrame:
     """Each document's ids and ``end_id``, cut after every ``capacity`` ids: uid, doc_id,
     piece, start, length and ``ids`` (little endian, ``id_bytes`` each), or with ``digest``
-    ``ids_crc32`` of them instead."""
+    ``ids_crc32`` of them instead.  A worker remembers so many words at most."""
     names = [f.split(" ")[0] for f in (_DIGESTS if digest else _PIECES).split(", ")]
     kinds = _PIECE_TYPES[:5] + ([pa.int64()] if digest else _PIECE_TYPES[5:])
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(tokenizer)
+        coder = encoder(tokenizer, remembered)
         width = coder.dtype.itemsize
         uid = TaskContext.get().partitionId() << 40
         for batch in source:
@@ -243,6 +244,7 @@ _PIECE_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.i
 def pack_documents(
     docs: DataFrame, capacity: int = 4096, number: str = "doc_id", text: str = "text",
     tokenizer: str | None = None, end_id: int = 1, shard_pieces: int = SHARD_PIECES, digest: bool = False,
+    remembered: int = REMEMBERED,
 ) -> DataFrame:
     """The pieces of all documents with their ids, ``sequence_id`` and ``offset``.
 
@@ -250,7 +252,7 @@ def pack_documents(
     lengths go through the packing rounds.  With ``digest`` the ids stay where they are made
     and only their checksum is handed on.
     """
-    pieces = stored(token_pieces(docs, capacity, number, text, tokenizer, end_id, digest), "pieces")
+    pieces = stored(token_pieces(docs, capacity, number, text, tokenizer, end_id, digest, remembered), "pieces")
     placed = place(pieces.select("uid", "length"), capacity, shard_pieces)
     return pieces.join(placed, "uid").drop("uid")
 

@@ -11,6 +11,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 DEFAULT_FILE = "word_bpe_49k.json"
+#: Words that an encoder remembers at most.
+REMEMBERED = 1_500_000
 
 
 def tokenizer_path(path: str | None) -> str:
@@ -57,7 +59,7 @@ class Encoder:
     #: Bytes of texts cut into words at once; a longer text is taken alone.
     SLICE = 8 << 20
 
-    def __init__(self, path: str | None = None, remembered: int = 1_500_000, held_bytes: int = 64 << 20):
+    def __init__(self, path: str | None = None, remembered: int = REMEMBERED, held_bytes: int = 64 << 20):
         self.tokenizer, self.dtype = load(path), id_type(path)
         self.remembered, self.held_bytes = remembered, held_bytes
         self._forget()
@@ -192,5 +194,6 @@ class Encoder:
 
 
 @functools.cache
-def encoder(path: str | None) -> Encoder:
-    return Encoder(path)
+def encoder(path: str | None, remembered: int = REMEMBERED) -> Encoder:
+    """One in each Python worker, which keeps it as long as it lives."""
+    return Encoder(path, remembered)

@@ -19,6 +19,8 @@ from accessloom.llm.suffix_dedup import MADE, without_repeats
 from accessloom.sources.workspace import fresh_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Words that a worker remembers when it encodes: it lives on into other stages, and holds them there.
+REMEMBERED = 400_000
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -48,7 +50,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their ids and places in sequences of 4096."""
-    return pack_documents(docs)
+    return pack_documents(docs, remembered=REMEMBERED)
 
 
 STAGES = [

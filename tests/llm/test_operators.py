@@ -13,6 +13,8 @@ import __spark_entry__ as entry
 from accessloom.llm import (
     embed_dedup, lang_id, lm_score, mixing, near_dedup, packing, quality, suffix_dedup, token_count, token_files,
 )
+from accessloom.llm import components as components_of
+from accessloom.llm.common import stored
 from accessloom.llm.components import components
 from tests.llm import brute
 
@@ -452,6 +454,28 @@ def test_components(spark, seed):
     assert got == {n: least[n] for link in links if link[0] != link[1] for n in link}
 
 
+def test_component_rounds_make_few_files(spark, monkeypatch):
+    """However many partitions their shuffles have."""
+    made = []
+    monkeypatch.setattr(components_of, "stored", lambda *x: made.append(stored(*x)) or made[-1])
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        for n, value in zip(names, ("40", "false")):
+            spark.conf.set(n, value)
+        got = dict(components(spark.range(300).selectExpr("id a", "id + 1 - id % 3 % 2 b")).collect())
+    finally:
+        for n, value in before.items():
+            spark.conf.set(n, value)
+    assert got and len(made) > 2
+    assert max(len(df.inputFiles()) for df in made[1:]) <= components_of.FEW_FILES
+
+
+def test_pieces_are_the_same_however_few_words_are_remembered(table):
+    pieces = lambda **x: {r["uid"]: r for r in packing.token_pieces(table[0], **x).collect()}
+    assert pieces(remembered=3) == pieces()
+
+
 def test_mixing(table):
     df, docs = table
     sources = Counter()
