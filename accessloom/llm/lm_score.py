@@ -64,6 +64,8 @@ COMMON, COMMON_BYTES = 100_000, 256
 #: that workers keep, those in a part, those counted before they are handed on.
 CROSSING, COMMON_CROSSINGS, CROSSING_PART, CROSSINGS_HELD = 4, 300_000, 200_000, 1 << 21
 BLANK = 33  # the digit of a blank
+#: Edges held in a task before they are bundled by their endings.
+EDGES_HELD = 1 << 20
 #: Bytes of text cut into words at a time; a longer text is cut by itself.
 CUT = 1 << 23
 #: Words and bytes in a batch; edges counted at once; bytes of words whose edges are a part; edges
@@ -381,14 +383,16 @@ def _all_words(cuts: DataFrame) -> DataFrame:
     return cuts.mapInArrow(batches, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _packed(ends: np.ndarray, values: np.ndarray) -> pa.Array:
+    """The bytes of the values, cut at ``ends``."""
+    offsets = (ends * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(
+        pa.binary(), len(ends) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())])
+
+
 def _vectors(cuts: DataFrame, common: list[bytes]) -> DataFrame:
     """Each learned text's numbers of common words and how often it has them; ``seed`` is its hash."""
 
-    def parts(ends: np.ndarray, values: np.ndarray) -> pa.Array:
-        offsets = (ends * values.itemsize).astype(np.int32)
-        return pa.Array.from_buffers(
-            pa.binary(), len(ends) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())])
-
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         listed = pa.array(common, pa.large_binary())
         for cut in _read_cuts(source):
@@ -398,8 +402,8 @@ def _vectors(cuts: DataFrame, common: list[bytes]) -> DataFrame:
             learned = np.flatnonzero(cut.learn)
             ends = np.append(np.searchsorted(pairs, learned * len(common)), len(pairs))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cut.seeds[learned]), parts(ends, (pairs % len(common)).astype("<u2")),
-                 parts(ends, n.astype("<f4"))], names=["seed", "ids", "n"])
+                [pa.array(cut.seeds[learned]), _packed(ends, (pairs % len(common)).astype("<u2")),
+                 _packed(ends, n.astype("<f4"))], names=["seed", "ids", "n"])
 
     return cuts.mapInArrow(batches, "seed long, ids binary, n binary")
 
@@ -572,11 +576,13 @@ def _crossing_edges(cuts: DataFrame, classes: Classes) -> DataFrame:
         if held:
             yield out()
 
+    def bundles(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            key, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            yield _bundle(np.array([0, len(key)]), [key >> 8, key >> 8, key & 255, n, key >> 8, key & 255])
+
     counted = cuts.mapInArrow(batches, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    context, byte = F.shiftright("key", 8), F.col("key").bitwiseAND(F.lit(255))
-    return counted.select(
-        context.alias("context"), context.alias("node"), byte.cast("short").alias("byte"), "n",
-        context.alias("batch"), byte.cast("int").alias("local"))
+    return counted.mapInArrow(bundles, _BUNDLE)
 
 
 def _batched(counts: DataFrame, n_words: int) -> DataFrame:
@@ -604,8 +610,87 @@ def _batched(counts: DataFrame, n_words: int) -> DataFrame:
         batches, "batch long, words binary, classes binary, n binary, uses binary")
 
 
+_EDGE = {"context": "<i8", "node": "<i8", "byte": "<i2", "n": "<i8", "batch": "<i8", "local": "<i4"}
+#: Edges travel in bundles, many in a row.
+_BUNDLE = "edges long, " + ", ".join(f"{name}_ binary" for name in _EDGE)
+
+
+def _bundle(ends: np.ndarray, columns: list[np.ndarray], *keys: tuple[str, pa.Array]) -> pa.RecordBatch:
+    """Bundles of edges, cut at ``ends``, and what stands beside them."""
+    made = [_packed(ends, c.astype(k)) for c, k in zip(columns, _EDGE.values())]
+    return pa.RecordBatch.from_arrays(
+        [*(x for _, x in keys), pa.array(np.diff(ends).astype(np.int64)), *made],
+        names=[*(name for name, _ in keys), "edges", *(f"{name}_" for name in _EDGE)])
+
+
+def _unbundled(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """The columns of all edges of some bundles."""
+    out = []
+    for name, kind in _EDGE.items():
+        column = batch.column(f"{name}_")
+        ends = np.frombuffer(column.buffers()[1], "<i4")[column.offset : column.offset + len(column) + 1]
+        size = int(ends[-1] - ends[0]) // np.dtype(kind).itemsize if len(column) else 0
+        out.append(np.frombuffer(column.buffers()[2], kind, size, int(ends[0])) if size else np.empty(0, kind))
+    return out
+
+
+def _summed(bundles: DataFrame, k: int) -> DataFrame:
+    """For each last ``k`` bytes (``tail``) and byte: n and ``edges``."""
+
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            context, _, byte, n, _, _ = _unbundled(batch)
+            of, keys = pd.factorize(shorter(context, k) * 256 + byte)
+            sums = np.zeros(len(keys), np.int64)
+            np.add.at(sums, of, n)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys >> 8), pa.array((keys & 255).astype(np.int16)), pa.array(sums),
+                 pa.array(np.bincount(of, minlength=len(keys)))], names=["tail", "byte", "n", "edges"])
+
+    made = bundles.select("edges", *(f"{name}_" for name in _EDGE)).mapInArrow(
+        batches, "tail long, byte short, n long, edges long")
+    return made.groupBy("tail", "byte").agg(F.sum("n").alias("n"), F.sum("edges").alias("edges"))
+
+
+def _by_ending(edges: DataFrame, hot: np.ndarray, common: np.ndarray, only: bool = False) -> DataFrame:
+    """Edges bundled by ``tail``, the last three bytes; those of ``hot`` tails by ``context`` too, and those of
+    ``common`` contexts by ``node`` (else null).  With ``only``, just those of hot tails."""
+    hot, common = np.sort(hot), np.sort(common)
+
+    def out(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+        columns = [np.concatenate(c) for c in zip(*held)]
+        tail = shorter(columns[0], 3)
+        in_hot = np.isin(tail, hot)
+        if only:
+            columns, tail, in_hot = [c[in_hot] for c in columns], tail[in_hot], in_hot[in_hot]
+        in_common = in_hot & np.isin(columns[0], common)
+        keys = [np.where(in_common, columns[1], 0), np.where(in_hot, columns[0], 0), tail]
+        order = np.lexsort(keys) if in_hot.any() else np.argsort(tail, kind="stable")
+        keys, differs = [x[order] for x in keys], np.zeros(max(len(order) - 1, 0), bool)
+        for x in keys:
+            differs |= x[1:] != x[:-1]
+        starts = np.append(0, np.flatnonzero(differs) + 1)[: len(order)]
+        at = order[starts]
+        return _bundle(
+            np.append(starts, len(order)), [c[order] for c in columns], ("tail", pa.array(tail[at])),
+            ("context", pa.array(columns[0][at], mask=~in_hot[at])), ("node", pa.array(columns[1][at], mask=~in_common[at])))
+
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in source:
+            held.append(_unbundled(batch))
+            n += len(held[-1][0])
+            if n > EDGES_HELD:
+                yield out(held)
+                held, n = [], 0
+        if held:
+            yield out(held)
+
+    return edges.mapInArrow(batches, "tail long, context long, node long, " + _BUNDLE)
+
+
 def _edges(batched: DataFrame) -> DataFrame:
-    """The distinct (word so far, next byte) of each batch, with their counts."""
+    """The distinct (word so far, next byte) of each batch, with their counts; a bundle a batch."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
@@ -613,16 +698,11 @@ def _edges(batched: DataFrame) -> DataFrame:
                 bits = Bits(words.split(b" "), np.frombuffer(classes, "<i8"))
                 first, of = bits.edges()
                 total = np.bincount(of, np.repeat(np.frombuffer(n, "<i8"), bits.lengths).astype(float), len(first))
-                columns = [bits.context[first], bits.node[first].view(np.int64), bits.byte[first].astype(np.int16),
-                           total.astype(np.int64), np.full(len(first), number), np.arange(len(first), dtype=np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
-
-    names = ["context", "node", "byte", "n", "batch", "local"]
-    return batched.select("batch", "words", "classes", "n").mapInArrow(
-        batches, "context long, node long, byte short, n long, batch long, local int")
-
+                yield _bundle(np.array([0, len(first)]), [
+                    bits.context[first], bits.node[first], bits.byte[first], total, np.full(len(first), number),
+                    np.arange(len(first))])
 
-_TAIL = f"context - context % {SPAN} + (context % {SPAN}) % {DIGIT ** 3}"
+    return batched.select("batch", "words", "classes", "n").mapInArrow(batches, _BUNDLE)
 
 
 def _parts(edges: DataFrame, tails: DataFrame, parts: int) -> DataFrame:
@@ -633,16 +713,19 @@ def _parts(edges: DataFrame, tails: DataFrame, parts: int) -> DataFrame:
     word so far; then the part is given the sums by byte of the whole ending, or of the five bytes.
     ``tails`` has n and ``edges`` for each tail and byte.
     """
-    rows = edges.withColumn("tail", F.expr(_TAIL))
+    # Both lists have at most a row for ``HOT`` edges.
+    none, listed = np.empty(0, np.int64), lambda df, name: df.select(name).toArrow().column(name).to_numpy()
     hot = tails.groupBy("tail").agg(F.sum("edges").alias("in_tail")).where(F.col("in_tail") > HOT)
+    hot = stored(hot, "hot_tails")
+    hot_tails, hot_contexts = listed(hot, "tail"), none
     spread, given = F.xxhash64("tail"), None
-    if not hot.isEmpty():
-        # Both lists have at most a row for ``HOT`` edges.
-        hot = stored(hot, "hot_tails")
-        rows = rows.join(F.broadcast(hot), "tail", "left")
-        common = rows.where("in_tail IS NOT NULL").groupBy("context").agg(F.count("*").alias("in_context"))
+    if len(hot_tails):
+        common = _by_ending(edges, hot_tails, none, only=True).groupBy("context").agg(F.sum("edges").alias("in_context"))
         common = stored(common.where(F.col("in_context") > HOT), "hot_contexts")
-        rows = rows.join(F.broadcast(common), "context", "left")
+        hot_contexts = listed(common, "context")
+    rows = _by_ending(edges, hot_tails, hot_contexts)
+    if len(hot_tails):
+        rows = rows.join(F.broadcast(hot), "tail", "left").join(F.broadcast(common), "context", "left")
         spread = F.when(F.col("in_context").isNotNull(), F.xxhash64(
             "context", F.pmod(F.xxhash64("node"), F.ceil(F.col("in_context") / HOT)))).when(
             F.col("in_tail").isNotNull(), F.xxhash64(
@@ -651,18 +734,25 @@ def _parts(edges: DataFrame, tails: DataFrame, parts: int) -> DataFrame:
         three = tails.select("tail", "byte", "n").join(
             dealt.where("in_tail IS NOT NULL").select("tail", "spread").distinct(), "tail")
         wide = dealt.where("in_context IS NOT NULL")
-        five = wide.groupBy("context", "byte").agg(F.sum("n").alias("n")).join(
+        five = _summed(wide, 5).select(F.col("tail").alias("context"), "byte", "n").join(
             wide.select("context", "spread").distinct(), "context")
         blank = [F.lit(0).cast("long").alias("node"), "byte", "n"]
         given = three.select(F.col("tail").alias("context"), *blank, F.lit(-3).cast("long").alias("batch"), "spread")
         given = given.unionByName(five.select("context", *blank, F.lit(-5).cast("long").alias("batch"), "spread"))
-    names = ["context", "node", "byte", "n", "batch", "local"]
-    rows = rows.withColumn("spread", spread).select(*names, "spread")
+    names = ["edges", *(f"{name}_" for name in _EDGE)]
+    rows = rows.withColumn("spread", spread).select("spread", *names)
+
+    def bundles(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            yield _bundle(np.arange(len(batch) + 1), [batch.column(name).to_numpy() for name in _EDGE],
+                          ("spread", batch.column("spread")))
+
     if given is not None:
-        rows = rows.unionByName(given.withColumn("local", F.lit(-1)))
+        given = given.withColumn("local", F.lit(-1)).select("spread", *_EDGE)
+        rows = rows.unionByName(given.mapInArrow(bundles, "spread long, " + _BUNDLE))
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [[c.to_numpy() for c in batch.columns[:6]] for batch in source if batch.num_rows]
+        held = [_unbundled(batch) for batch in source if batch.num_rows]
         if not held:
             return
         columns = [np.concatenate(c) for c in zip(*held)]
@@ -758,15 +848,15 @@ def _trained(rows: DataFrame, cuts: DataFrame | None = None) -> tuple[dict, Data
     sums = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     crossing = stored(_crossing_edges(cuts, classes), "crossing_edges")
     between = _tails(crossing)
-    crossings = stored(_parts(crossing, between, 1 + crossing.count() // CROSSING_PART), "crossings")
+    n_crossing = crossing.agg(F.sum("edges").alias("n")).first()["n"] or 0
+    crossings = stored(_parts(crossing, between, 1 + n_crossing // CROSSING_PART), "crossings")
     return {"model": _learned(parts, tails, DIGIT ** (CROSSING - 1)), "classes": classes, "total": sums["n"] or 0,
             "distinct": sums["v"], "crossing": _learned(crossings, between, 0), "crossings": crossings}, words, batched, parts
 
 
 def _tails(edges: DataFrame) -> DataFrame:
     """How often a byte follows the last three, and how many edges that are."""
-    tails = edges.groupBy(F.expr(_TAIL).alias("tail"), "byte").agg(F.sum("n").alias("n"), F.count("*").alias("edges"))
-    return stored(tails, "tails")
+    return stored(_summed(edges, 3), "tails")
 
 
 def _learned(parts: DataFrame, tails: DataFrame, least: int) -> dict:
@@ -825,7 +915,8 @@ def _lesson(parts: DataFrame, model: dict, least: int) -> None:
 # ---------------------------------------------------------------- scoring
 
 def _word_scores(batched: DataFrame, parts: DataFrame, model: dict) -> DataFrame:
-    """(class, word, uses, score): edges are scored in their parts and added up in their batches.
+    """(class, word, uses, score): edges are scored in their parts and added up in their batches.  A part
+    hands on a row for each batch.
     Scores are those of the bytes from which on contexts don't reach over the blank before the word."""
     sent, name = batched.sparkSession.sparkContext.broadcast({"model": model}), uuid.uuid4().hex
 
@@ -833,19 +924,26 @@ def _word_scores(batched: DataFrame, parts: DataFrame, model: dict) -> DataFrame
         for chunks, (of, batch, local) in _opened(source):
             model = _on_worker(name, sent)
             x = np.concatenate([model.edge_scores(context, byte, long) for context, byte, _, long in chunks])[of]
-            yield pa.RecordBatch.from_arrays([pa.array(batch), pa.array(local), pa.array(x)], names=["batch", "local", "x"])
+            order = np.argsort(batch, kind="stable")
+            batch = batch[order]
+            starts = np.flatnonzero(np.append(True, batch[1:] != batch[:-1])[: len(batch)])
+            ends = np.append(starts, len(batch))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(batch[starts]), _packed(ends, local[order].astype("<i4")), _packed(ends, x[order])],
+                names=["batch", "local", "x"])
 
     def add(words: pd.DataFrame, scores: pd.DataFrame) -> pd.DataFrame:
         given, classes = words["words"].iloc[0].split(b" "), np.frombuffer(words["classes"].iloc[0], "<i8")
         bits = Bits(given, classes)
-        x = np.empty(len(scores))
-        x[scores["local"].to_numpy()] = scores["x"].to_numpy()
+        local, found = (np.frombuffer(b"".join(scores[c]), k) for c, k in (("local", "<i4"), ("x", "<f8")))
+        x = np.empty(len(found))
+        x[local] = found
         x = np.where(bits.context % SPAN >= DIGIT ** (CROSSING - 1), x[bits.edges()[1]], 0)
         return pd.DataFrame({
             "class": classes, "word": given, "uses": np.frombuffer(words["uses"].iloc[0], "<i8"),
             "score": np.add.reduceat(x, bits.starts)})
 
-    scores = parts.mapInArrow(batches, "batch long, local int, x double")
+    scores = parts.mapInArrow(batches, "batch long, local binary, x binary")
     return batched.groupBy("batch").cogroup(scores.groupBy("batch")).applyInPandas(
         add, "class int, word binary, uses long, score double")
 

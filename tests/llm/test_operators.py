@@ -235,6 +235,37 @@ def test_lm_common_endings_are_split_and_counted_whole(given, monkeypatch):
     assert parts > 1 and got == want
 
 
+def test_lm_edges_travel_in_bundles(given, monkeypatch):
+    """A row a batch, then a row for each ending that a task holds; hot ones also by context and node."""
+    monkeypatch.setattr(lm_score, "BATCH_WORDS", 500)
+    batched = lm_score._trained(given[0].withColumn("learn", lm_score.F.lit(True)))[2]
+    edges = lm_score._edges(batched).coalesce(1)
+    flat = lambda df: [np.concatenate(c) for c in zip(*map(lm_score._unbundled, df.toArrow().to_batches()))]
+    rows = lambda columns: sorted(zip(*(c.tolist() for c in columns)))
+    want = flat(edges)
+    assert edges.count() == batched.count() < len(want[0]) // 100
+    tails, n = np.unique(lm_score.shorter(want[0], 3), return_counts=True)
+    sums, got = Counter(), Counter()
+    for t, b, x in zip(lm_score.shorter(want[0], 3).tolist(), want[2].tolist(), want[3].tolist()):
+        sums[t, b, "n"] += x
+        sums[t, b, "edges"] += 1
+    for r in lm_score._summed(edges, 3).collect():
+        got.update({(r["tail"], r["byte"], c): r[c] for c in ("n", "edges")})
+    assert got == sums
+    none = np.empty(0, np.int64)
+    dealt = lm_score._by_ending(edges, none, none)
+    assert dealt.count() == len(tails) and rows(flat(dealt)) == rows(want)
+    hot = tails[np.argsort(-n)[:3]]
+    inside = np.isin(lm_score.shorter(want[0], 3), hot)
+    common = want[0][inside][:1]
+    dealt = lm_score._by_ending(edges, hot, common)
+    assert rows(flat(dealt)) == rows(want)
+    keys = {(t, c if t in hot else None, x if c in common else None)
+            for t, c, x in zip(lm_score.shorter(want[0], 3).tolist(), want[0].tolist(), want[1].tolist())}
+    assert {(r["tail"], r["context"], r["node"]) for r in dealt.select("tail", "context", "node").collect()} == keys
+    assert rows(flat(lm_score._by_ending(edges, hot, none, only=True))) == rows([c[inside] for c in want])
+
+
 def test_lm_scores_are_the_same_however_rows_lie(spark, given):
     scores = lambda df: {r["doc_id"]: r["score"] for r in lm_score.score_texts(df).collect()}
     want = scores(given[0].repartition(1))
