@@ -18,7 +18,8 @@ dealt by hash and their number depends on the words alone, so scores are the sam
 and however many cores there are, but for the last digits of sums.
 
 Texts are cut into words once, and the cuts are a Spark table that all later passes read.
-All training texts are counted, and all counts are exact.  What is predicted is an edge: a word so
+All training texts are counted, and all counts are exact: words are added up by their hash in tasks and
+compared with each other, and travel in bundles, a row for each part they are dealt to.  What is predicted is an edge: a word so
 far in a class, and the byte that follows.  The distinct edges of all words are a Spark table.
 They meet by their last three bytes, so a part has all that counts for its longer contexts; common
 endings are split, and their parts given the sums.  Only the contexts of up to two bytes, which the
@@ -47,7 +48,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,14 +58,16 @@ END = b"\n"  # no word holds it
 ORDERS = (1, 2, 3, 5)
 #: A context is a class and the last five bytes, as digits of which 0 is none.
 DIGIT, SPAN = 257, 257**5
-#: The commonest words of classes, whose scores workers keep, but for longer ones; all others are joined.
-COMMON, COMMON_BYTES = 100_000, 256
+#: The commonest words of classes, whose scores workers keep; all others are joined.  Longer words don't tell
+#: classes apart.
+COMMON, COMMON_BYTES = 400_000, 256
 #: Bytes of a word whose last five bytes reach over the blank before it; their edges: the commonest ones
 #: that workers keep, those in a part, those counted before they are handed on.
-CROSSING, COMMON_CROSSINGS, CROSSING_PART, CROSSINGS_HELD = 4, 300_000, 200_000, 1 << 21
+CROSSING, COMMON_CROSSINGS, CROSSING_PART, CROSSINGS_HELD = 4, 500_000, 200_000, 1 << 21
 BLANK = 33  # the digit of a blank
-#: Edges held in a task before they are bundled by their endings.
-EDGES_HELD = 1 << 20
+#: Edges held in a task before they are bundled by their endings; words and their bytes counted before they are
+#: handed on; bytes hashed and texts of a step of expectation at a time.
+EDGES_HELD, WORDS_HELD, LETTERS_HELD, HASHED, TEXTS = 1 << 20, 1 << 20, 1 << 26, 1 << 18, 1 << 10
 #: Bytes of text cut into words at a time; a longer text is cut by itself.
 CUT = 1 << 23
 #: Words and bytes in a batch; edges counted at once; bytes of words whose edges are a part; edges
@@ -89,9 +91,32 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def pair_hash(k: int, word: bytes) -> int:
-    h = xxhash.xxh3_64_intdigest(b"%d " % k + word)  # small seeds make short words collide
-    return h - 2**64 if h >= 2**63 else h
+def _letters(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of the words (large binary) ends, from 0, and their bytes."""
+    ends = np.frombuffer(words.buffers()[1], "<i8")[words.offset : words.offset + len(words) + 1]
+    data = words.buffers()[2]
+    size = int(ends[-1] - ends[0]) if len(words) else 0
+    return ends - ends[:1], np.frombuffer(data, np.uint8, size, int(ends[0])) if size else np.empty(0, np.uint8)
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each word, none of them empty."""
+    ends, data = _letters(words)
+    out, a = np.empty(len(words), np.uint64), 0
+    while a < len(words):
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + HASHED, "right")) - 1)
+        starts, lengths = ends[a:b] - ends[a], np.diff(ends[a : b + 1])
+        power, _ = _powers(1 << max(int(lengths.max()).bit_length(), 18))
+        place = np.arange(ends[b] - ends[a]) - np.repeat(starts, lengths)
+        sums = np.add.reduceat(_LETTERS[data[ends[a] : ends[b]]] * power[place], starts)
+        out[a:b] = _mixed(sums + lengths.astype(np.uint64))
+        a = b
+    return out
+
+
+def pair_hashes(k: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each class and word."""
+    return _mixed(hashes + (k.astype(np.uint64) + np.uint64(1)) * np.uint64(_BASE)).view(np.int64)
 
 
 # ---------------------------------------------------------------- contexts
@@ -197,10 +222,14 @@ class Classes:
     def of_all(self, cut: "Cut") -> np.ndarray:
         """The class of each text."""
         token = _places(cut.words, self.listed)[cut.code]
-        doc, token = cut.doc[token >= 0], token[token >= 0]
-        sums = [np.bincount(doc, self.word[token, k], cut.n) for k in range(CLASSES)]
+        sums = [np.bincount(cut.doc, x[token], cut.n) for x in self.by_class]
         return (self.prior + np.stack(sums, axis=1)).argmax(axis=1)
 
+    @functools.cached_property
+    def by_class(self) -> np.ndarray:
+        """For each class its words' logs and 0 for others, whose place is -1."""
+        return np.append(self.word.T, np.zeros((CLASSES, 1)), axis=1)
+
 
 @dataclass
 class Model:
@@ -372,15 +401,7 @@ def _places(words: pa.Array, listed: pa.Array) -> np.ndarray:
 
 def _all_words(cuts: DataFrame) -> DataFrame:
     """(word, n) over all texts to learn from, end marks included."""
-
-    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cut in _read_cuts(source):
-            n = np.bincount(cut.code[cut.learn[cut.doc]], minlength=len(cut.words))
-            found = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays(
-                [cut.words.take(pa.array(found)).cast(pa.binary()), pa.array(n[found])], names=["word", "n"])
-
-    return cuts.mapInArrow(batches, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return _counted(cuts, None).select("word", "n")
 
 
 def _packed(ends: np.ndarray, values: np.ndarray) -> pa.Array:
@@ -426,24 +447,28 @@ def _round(vectors: DataFrame, starts: list[int], size: int, models: dict | None
         sums = {s: np.zeros((CLASSES, size)) for s in starts}
         heads = {s: np.zeros(CLASSES + 1) for s in starts}
         for batch in source:
-            ids, n = (np.frombuffer(b"".join(batch.column(c).to_pylist()), k) for c, k in ((1, "<u2"), (2, "<f4")))
-            lengths = np.array([len(x) // 2 for x in batch.column(1).to_pylist()], np.int64)
-            doc = np.repeat(np.arange(len(lengths)), lengths)
-            for s in starts:
-                if sent.value is None:
-                    share = _first_shares(batch.column(0).to_numpy(), s)
-                else:
-                    prior, word = sent.value[s]
-                    logs = np.stack([np.bincount(doc, n * word[k][ids], len(lengths)) for k in range(CLASSES)], axis=1)
-                    logs += prior
-                    top = logs.max(axis=1, keepdims=True) if len(logs) else logs
-                    share = np.exp(logs - top)
-                    total = share.sum(axis=1, keepdims=True)
-                    share /= total
-                    heads[s][CLASSES] += (top + np.log(total)).sum()
-                heads[s][:CLASSES] += share.sum(axis=0)
-                for k in range(CLASSES):
-                    sums[s][k] += np.bincount(ids, n * share[doc, k], size)
+            first = np.append(0, np.cumsum(pc.binary_length(batch.column(1)).to_numpy() // 2))
+            every = _joined(batch.column(1), "<u2").astype(np.intp), _joined(batch.column(2), "<f4").astype(float)
+            for a in range(0, batch.num_rows, TEXTS):
+                seeds = batch.column(0).to_numpy()[a : a + TEXTS]
+                lengths = np.diff(first[a : a + TEXTS + 1])
+                ids, n = (x[first[a] : first[a + len(seeds)]] for x in every)
+                doc = np.repeat(np.arange(len(lengths)), lengths)
+                for s in starts:
+                    if sent.value is None:
+                        share = _first_shares(seeds, s)
+                    else:
+                        prior, word = sent.value[s]
+                        logs = np.stack([np.bincount(doc, n * word[k][ids], len(lengths)) for k in range(CLASSES)], axis=1)
+                        logs += prior
+                        top = logs.max(axis=1, keepdims=True)
+                        share = np.exp(logs - top)
+                        total = share.sum(axis=1, keepdims=True)
+                        share /= total
+                        heads[s][CLASSES] += (top + np.log(total)).sum()
+                    heads[s][:CLASSES] += share.sum(axis=0)
+                    for k in range(CLASSES):
+                        sums[s][k] += np.bincount(ids, n * np.repeat(share[:, k], lengths), size)
         keys, values = [], []
         for s in starts:
             keys.append(s << 40)
@@ -497,23 +522,157 @@ def _classes(n_texts: int, cuts: DataFrame, words: DataFrame) -> Classes:
     return Classes(place, prior / math.log(10), np.ascontiguousarray(word.T) / math.log(10))
 
 
-def _word_counts(cuts: DataFrame, classes: Classes) -> DataFrame:
-    """(class, word, n, uses), end marks included: in the texts to learn from, and in all."""
+_COUNTS = ("class", "word", "n", "uses", "total")
 
-    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _numbered(words: pa.Array, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each word among the distinct ones, and where each of these comes first."""
+
+    def firsts(of: np.ndarray) -> np.ndarray:
+        first = np.empty(of.max(initial=-1) + 1, np.int64)
+        first[of[::-1]] = np.arange(len(of))[::-1]
+        return first
+
+    of = pd.factorize(hashes)[0]
+    first = firsts(of)
+    if not pc.all(pc.equal(words, words.take(pa.array(first[of])))).as_py():  # two words of one hash
+        of = words.dictionary_encode().indices.to_numpy()
+        first = firsts(of)
+    return of, first
+
+
+class Counts(NamedTuple):
+    """Words of classes, and how often they are in the texts to learn from, and in all."""
+
+    k: np.ndarray
+    words: pa.Array
+    hashes: np.ndarray
+    n: np.ndarray
+    uses: np.ndarray
+
+    @classmethod
+    def added(cls, held: list["Counts"]) -> tuple["Counts", np.ndarray]:
+        """Some added up, and how often each word is in all classes."""
+        words = pa.concat_arrays([c.words for c in held])
+        k, hashes, n, uses = (np.concatenate([c[i] for c in held]) for i in (0, 2, 3, 4))
+        of, first = _numbered(words, hashes)
+        pair, width = k * len(first) + of, max(len(first), 1)
+        total = np.bincount(of, n, width).astype(np.int64)
+        n, uses = (np.bincount(pair, x, CLASSES * width).astype(np.int64) for x in (n, uses))
+        found = np.flatnonzero(uses)
+        at = first[found % width]
+        return cls(found // width, words.take(pa.array(at)), hashes[at], n[found], uses[found]), total[found % width]
+
+    @property
+    def size(self) -> int:
+        return self.words.nbytes
+
+
+def _added_edges(held: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    keys, n = map(np.concatenate, zip(*held))
+    of, keys = pd.factorize(keys)
+    return keys, np.bincount(of, n, len(keys))
+
+
+def _counted(cuts: DataFrame, classes: Classes | None) -> DataFrame:
+    """(class, word, n, uses, total), end marks included: in the texts to learn from, in all, and in those of
+    all classes to learn from.  In other rows, whose word is null, the distinct edges between words of all
+    texts in bundles, and how often those to learn from have them.
+
+    Without ``classes`` just the words of texts to learn from, as those of one class.  Counts are dealt by the
+    hash of the word or edge and travel in bundles, a row for each part."""
+    parts = 1 + cuts.count() // 2
+
+    def dealt(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The order by parts, the parts and where each ends."""
+        part = (hashes % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        ends = np.append(0, np.cumsum(np.bincount(part, minlength=parts)))
+        some = np.flatnonzero(np.diff(ends))
+        return order, some, np.append(ends[some], len(part))
+
+    def words_out(counts: Counts) -> pa.RecordBatch:
+        order, some, ends = dealt(counts.hashes)
+        offsets, data = _letters(counts.words.take(pa.array(order)))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(2 * some), _packed(ends, counts.n[order].astype("<i8")), _packed(ends, counts.uses[order].astype("<i8")),
+             _packed(ends, counts.k[order].astype("<u1")), _packed(ends, np.diff(offsets).astype("<i4")),
+             _packed(offsets[ends], data)], names=names)
+
+    def edges_out(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        order, some, ends = dealt(_mixed(keys.view(np.uint64)))
+        none = pa.nulls(len(some), pa.binary())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(2 * some + 1), _packed(ends, n[order].astype("<i8")), _packed(ends, keys[order].astype("<i8")),
+             none, none, none], names=names)
+
+    def bundles(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, edges = [], []
         for cut in _read_cuts(source):
-            pair = classes.of_all(cut)[cut.doc] * len(cut.words) + cut.code
-            uses = np.bincount(pair)
-            n = np.bincount(pair, cut.learn[cut.doc])
+            if classes is None:
+                uses = n = np.bincount(cut.code[cut.learn[cut.doc]], minlength=len(cut.words))
+            else:
+                k = classes.of_all(cut)
+                pair = k[cut.doc] * len(cut.words) + cut.code
+                uses, n = np.bincount(pair), np.bincount(pair, cut.learn[cut.doc])
+                kind, keys = _crossings(cut, k)
+                times = np.bincount(kind, cut.learn[cut.doc], len(keys))
+                edges = [_added_edges([*edges, (keys[keys >= 0], np.repeat(times, (keys >= 0).sum(axis=1)))])]
             found = np.flatnonzero(uses)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array((found // len(cut.words)).astype(np.int32)),
-                 cut.words.take(pa.array(found % len(cut.words))).cast(pa.binary()),
-                 pa.array(n[found].astype(np.int64)), pa.array(uses[found])],
-                names=["class", "word", "n", "uses"])
+            code = found % len(cut.words)
+            words.append(Counts(found // len(cut.words), cut.words.take(pa.array(code)), word_hashes(cut.words)[code],
+                                n[found].astype(np.int64), uses[found].astype(np.int64)))
+            if sum(len(c.k) for c in words) > WORDS_HELD or sum(c.size for c in words) > LETTERS_HELD:
+                words = [Counts.added(words)[0]]
+                if len(words[0].k) > WORDS_HELD // 2 or words[0].size > LETTERS_HELD // 2:
+                    yield words_out(words[0])
+                    words = []
+            if edges and len(edges[0][0]) > CROSSINGS_HELD:
+                yield edges_out(*edges[0])
+                edges = []
+        if sum(len(c.k) for c in words):
+            yield words_out(Counts.added(words)[0])
+        if edges:
+            yield edges_out(*edges[0])
+
+    def opened(rows: pa.RecordBatch) -> Counts:
+        n, uses, k, lengths, letters = (
+            _joined(rows.column(c), t) for c, t in zip(names[1:], ("<i8", "<i8", "<u1", "<i4", "<u1")))
+        offsets = np.append(0, np.cumsum(lengths, dtype=np.int64))
+        words = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(letters)])
+        return Counts(k.astype(np.int64), words, word_hashes(words), n, uses)
+
+    def summed(part: int, rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        if part % 2:
+            keys, n = _added_edges([(_joined(r.column("uses"), "<i8"), _joined(r.column("n"), "<i8")) for r in rows])
+            bundle = _bundle(np.array([0, len(keys)]), [keys >> 8, keys >> 8, keys & 255, n, keys >> 8, keys & 255])
+            return pa.RecordBatch.from_arrays(
+                [*(pa.nulls(1, t) for t in (pa.int32(), pa.binary(), *[pa.int64()] * 3)), *bundle.columns], names=out)
+        counts, total = Counts.added([opened(r) for r in rows])
+        bundle = [pa.nulls(len(total), t) for t in (pa.int64(), *[pa.binary()] * len(_EDGE))]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(counts.k.astype(np.int32)), counts.words.cast(pa.binary()), pa.array(counts.n), pa.array(counts.uses),
+             pa.array(total), *bundle], names=out)
+
+    def sums(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = -1, []
+        for batch in source:
+            found = batch.column(0).to_numpy()
+            starts = np.append(0, np.flatnonzero(found[1:] != found[:-1]) + 1)[: len(found)]
+            for a, b in zip(starts, np.append(starts[1:], len(found))):
+                if found[a] != part and held:
+                    yield summed(part, held)
+                    held = []
+                part = int(found[a])
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield summed(part, held)
 
-    counted = cuts.mapInArrow(batches, "class int, word binary, n long, uses long")
-    return counted.groupBy("class", "word").agg(F.sum("n").alias("n"), F.sum("uses").alias("uses"))
+    names = ["part", "n", "uses", "classes", "lengths", "letters"]
+    schema = "class int, word binary, n long, uses long, total long, " + _BUNDLE
+    out = [f.split(" ")[0] for f in schema.split(", ")]
+    made = cuts.mapInArrow(bundles, "part long, n binary, uses binary, classes binary, lengths binary, letters binary")
+    return made.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(sums, schema)
 
 
 def _crossings(cut: Cut, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -529,23 +688,23 @@ def _crossings(cut: Cut, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         last += np.where(inside, data[np.where(inside, end - 1 - j, 0)].astype(np.int64) + 1, 0) * power[j]
     head[-1, 1:] = -1  # nothing follows the end mark
     n = len(cut.code) - cut.n
-    code, doc, size = cut.code[:n], cut.doc[:n], np.minimum(size, 4)[cut.code[:n]]
+    code, doc = cut.code[:n], cut.doc[:n]
     begins = np.append(True, doc[1:] != doc[:-1])[:n]
-
-    def before(tail: np.ndarray) -> np.ndarray:
-        return np.where(begins, 0, np.append(0, tail)[:n])
-
     tail = last[code]  # the last four bytes of the text after each word
-    for _ in range(2):  # they reach over two blanks at most
-        tail = last[code] + power[size] * ((before(tail) * DIGIT + BLANK) % power[4 - size])
+    few = np.flatnonzero((size < 4)[code])  # these reach over two blanks at most
+    own, over, room = last[code[few]], power[size[code[few]]], power[4 - size[code[few]]]
+    for _ in range(2):
+        tail[few] = own + over * ((np.where(begins[few], 0, tail[few - 1]) * DIGIT + BLANK) % room)
     tokens = np.bincount(doc, minlength=cut.n)
     at_end = np.where(tokens > 0, np.append(0, tail)[np.cumsum(tokens)], 0)
-    context = k[cut.doc] * SPAN + np.append(before(tail), at_end) * DIGIT + BLANK
+    before = k[cut.doc] * DIGIT**4  # the class and four bytes: the blank after them is the fifth
+    before[:n] += np.where(begins, 0, np.append(0, tail)[:n])
+    before[n:] += at_end
     of_head, heads = pd.factorize((head + 1) @ power[:CROSSING])
-    of_context, contexts = pd.factorize(context)
-    kind, both = pd.factorize(of_context * len(heads) + of_head[cut.code])
-    context = contexts[both // len(heads)]
-    head = (heads[both % len(heads)][:, None] // power[:CROSSING]) % DIGIT - 1
+    kind, both = pd.factorize(before * len(heads) + of_head[cut.code])
+    context = both // len(heads)
+    head = ((heads[:, None] // power[:CROSSING]) % DIGIT - 1)[both - context * len(heads)]
+    context = context // DIGIT**4 * SPAN + context % DIGIT**4 * DIGIT + BLANK
     keys = np.empty(head.shape, np.int64)
     for j in range(CROSSING):
         keys[:, j] = np.where(head[:, j] >= 0, context * 256 + head[:, j], -1)
@@ -553,61 +712,29 @@ def _crossings(cut: Cut, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return kind, keys
 
 
-def _crossing_edges(cuts: DataFrame, classes: Classes) -> DataFrame:
-    """The distinct edges between words of all texts, and how often those to learn from have them."""
-
-    def total(held: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        keys, n = map(np.concatenate, zip(*held))
-        of, keys = pd.factorize(keys)
-        return keys, np.bincount(of, n, len(keys))
-
-    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(held[0][0]), pa.array(held[0][1].astype(np.int64))], names=["key", "n"])
-
-        held = []
-        for cut in _read_cuts(source):
-            kind, keys = _crossings(cut, classes.of_all(cut))
-            n = np.bincount(kind, cut.learn[cut.doc], len(keys))
-            held = [total([*held, (keys[keys >= 0], np.repeat(n, (keys >= 0).sum(axis=1)))])]
-            if len(held[0][0]) > CROSSINGS_HELD:
-                yield out()
-                held = []
-        if held:
-            yield out()
-
-    def bundles(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
-            key, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            yield _bundle(np.array([0, len(key)]), [key >> 8, key >> 8, key & 255, n, key >> 8, key & 255])
-
-    counted = cuts.mapInArrow(batches, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    return counted.mapInArrow(bundles, _BUNDLE)
-
-
 def _batched(counts: DataFrame, n_words: int) -> DataFrame:
     """Neighbours in the order of class and word, a batch a row: their beginnings are shared."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for batch in source:
-            words = batch.column(1).to_pylist()
-            ends = np.cumsum([len(w) + 1 for w in words])
-            columns = [batch.column(0).to_numpy().astype("<i8"), *(batch.column(c).to_numpy() for c in (2, 3))]
-            a = 0
+            words, a = batch.column(1), 0
+            ends = np.cumsum(pc.binary_length(words).to_numpy() + np.int64(1))
+            columns = [batch.column(0).to_numpy().astype("<i8"), *(batch.column(c).to_numpy() for c in (2, 3, 4))]
             while a < len(words):
                 before = ends[a - 1] if a else 0
                 b = min(a + BATCH_WORDS, max(a + 1, int(np.searchsorted(ends, before + BATCH_BYTES, "right"))))
+                some = pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), words.slice(a, b - a))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([number], pa.int64()), pa.array([b" ".join(words[a:b])], pa.binary()),
+                    [pa.array([number], pa.int64()), pc.binary_join(some, pa.scalar(b" ")),
                      *(pa.array([c[a:b].tobytes()], pa.binary()) for c in columns)],
-                    names=["batch", "words", "classes", "n", "uses"])
+                    names=["batch", "words", "classes", "n", "uses", "total"])
                 number, a = number + 1, b
 
     parts = max(counts.sparkSession.sparkContext.defaultParallelism, n_words // 50_000)
-    rows = counts.select("class", "word", "n", "uses").repartitionByRange(parts, "class", "word")
+    rows = counts.select(*_COUNTS).repartitionByRange(parts, "class", "word")
     return rows.sortWithinPartitions("class", "word").mapInArrow(
-        batches, "batch long, words binary, classes binary, n binary, uses binary")
+        batches, "batch long, words binary, classes binary, n binary, uses binary, total binary")
 
 
 _EDGE = {"context": "<i8", "node": "<i8", "byte": "<i2", "n": "<i8", "batch": "<i8", "local": "<i4"}
@@ -625,13 +752,14 @@ def _bundle(ends: np.ndarray, columns: list[np.ndarray], *keys: tuple[str, pa.Ar
 
 def _unbundled(batch: pa.RecordBatch) -> list[np.ndarray]:
     """The columns of all edges of some bundles."""
-    out = []
-    for name, kind in _EDGE.items():
-        column = batch.column(f"{name}_")
-        ends = np.frombuffer(column.buffers()[1], "<i4")[column.offset : column.offset + len(column) + 1]
-        size = int(ends[-1] - ends[0]) // np.dtype(kind).itemsize if len(column) else 0
-        out.append(np.frombuffer(column.buffers()[2], kind, size, int(ends[0])) if size else np.empty(0, kind))
-    return out
+    return [_joined(batch.column(f"{name}_"), kind) for name, kind in _EDGE.items()]
+
+
+def _joined(column: pa.Array, kind: str) -> np.ndarray:
+    """The values that all rows have packed, one after the other."""
+    ends = np.frombuffer(column.buffers()[1], "<i4")[column.offset : column.offset + len(column) + 1]
+    size = int(ends[-1] - ends[0]) // np.dtype(kind).itemsize if len(column) else 0
+    return np.frombuffer(column.buffers()[2], kind, size, int(ends[0])) if size else np.empty(0, kind)
 
 
 def _summed(bundles: DataFrame, k: int) -> DataFrame:
@@ -839,14 +967,15 @@ def _trained(rows: DataFrame, cuts: DataFrame | None = None) -> tuple[dict, Data
     cuts = stored(_cuts(rows), "cuts") if cuts is None else cuts
     words = stored(_all_words(cuts), "word_counts")
     classes = _classes(rows.where("learn").count(), cuts, words)
-    counts = stored(_word_counts(cuts, classes), "class_word_counts")
+    counted = stored(_counted(cuts, classes), "class_word_counts")
+    counts = counted.where("word IS NOT NULL").select(*_COUNTS)
     size = counts.agg(F.count("*").alias("words"), F.sum(F.octet_length("word") + 1).alias("bytes")).first()
     batched = stored(_batched(counts, size["words"]), "batches")
     edges = stored(_edges(batched), "edges")
     tails = _tails(edges)
     parts = stored(_parts(edges, tails, 1 + (size["bytes"] or 0) // PART), "parts")
     sums = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    crossing = stored(_crossing_edges(cuts, classes), "crossing_edges")
+    crossing = counted.where("word IS NULL").select("edges", *(f"{name}_" for name in _EDGE))
     between = _tails(crossing)
     n_crossing = crossing.agg(F.sum("edges").alias("n")).first()["n"] or 0
     crossings = stored(_parts(crossing, between, 1 + n_crossing // CROSSING_PART), "crossings")
@@ -915,7 +1044,8 @@ def _lesson(parts: DataFrame, model: dict, least: int) -> None:
 # ---------------------------------------------------------------- scoring
 
 def _word_scores(batched: DataFrame, parts: DataFrame, model: dict) -> DataFrame:
-    """(class, word, uses, score): edges are scored in their parts and added up in their batches.  A part
+    """(w, uses, n, score): the hash of class and word, in how many places, how often learned in all classes,
+    and the score.  Edges are scored in their parts and added up in their batches.  A part
     hands on a row for each batch.
     Scores are those of the bytes from which on contexts don't reach over the blank before the word."""
     sent, name = batched.sparkSession.sparkContext.broadcast({"model": model}), uuid.uuid4().hex
@@ -939,13 +1069,13 @@ def _word_scores(batched: DataFrame, parts: DataFrame, model: dict) -> DataFrame
         x = np.empty(len(found))
         x[local] = found
         x = np.where(bits.context % SPAN >= DIGIT ** (CROSSING - 1), x[bits.edges()[1]], 0)
-        return pd.DataFrame({
-            "class": classes, "word": given, "uses": np.frombuffer(words["uses"].iloc[0], "<i8"),
-            "score": np.add.reduceat(x, bits.starts)})
+        w = pair_hashes(classes, word_hashes(pa.array(given, pa.large_binary())))
+        uses, n = (np.frombuffer(words[c].iloc[0], "<i8") for c in ("uses", "total"))
+        return pd.DataFrame({"w": w, "uses": uses, "n": n, "score": np.add.reduceat(x, bits.starts)})
 
     scores = parts.mapInArrow(batches, "batch long, local binary, x binary")
     return batched.groupBy("batch").cogroup(scores.groupBy("batch")).applyInPandas(
-        add, "class int, word binary, uses long, score double")
+        add, "w long, uses long, n long, score double")
 
 
 def _crossing_scores(crossings: DataFrame, model: dict) -> DataFrame:
@@ -974,18 +1104,14 @@ def score_texts(
     rows = rows.withColumn("learn", F.expr("coalesce(NOT held_out, false)"))
     cuts = stored(_cuts(rows), "cuts")
     made, words, batched, parts = _trained(rows, cuts)
-    pairs = _word_scores(batched, parts, made["model"]).join(words, "word", "left")
-    pairs = stored(pairs.withColumn("n", F.coalesce("n", F.lit(0))), "word_scores")
-    short = F.octet_length("word") <= COMMON_BYTES
-    top = pairs.where(short).orderBy(F.col("uses").desc(), "class", "word").limit(COMMON).toArrow()
+    pairs = stored(_word_scores(batched, parts, made["model"]), "word_scores")
     classes, total = made["classes"], made["total"]
     below = total + 0.5 * (made["distinct"] + 1)
+    top, least = _commonest(pairs, "uses", COMMON)
     held = Held.of(top, below)
-    least = pc.min(top.column("uses")).as_py() or 0
     crossing = stored(_crossing_scores(made["crossings"], made["crossing"]), "crossing_scores")
-    between = crossing.orderBy(F.col("n").desc(), "w").limit(COMMON_CROSSINGS).toArrow()
-    seldom = pc.min(between.column("n")).as_py() or 0
-    between = between.column("w").to_numpy(), between.column("x").to_numpy()
+    between, seldom = _commonest(crossing, "n", COMMON_CROSSINGS)
+    between = Listed(between.column("w").to_numpy()), between.column("x").to_numpy()
     sent = docs.sparkSession.sparkContext.broadcast((classes, held, between))
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -1000,10 +1126,11 @@ def score_texts(
               "score double, rare array<long>, times array<int>")
     scored = stored(cuts.mapInArrow(batches, schema), "scored")
     # What the commonest words and edges don't cover gets its scores and counts by a join.
-    uncommon = _hashed(pairs.where((F.col("uses") <= least) | ~short)).unionByName(
+    uncommon = pairs.where(F.col("uses") <= least).select("w", "n", F.col("score").alias("x")).unionByName(
         crossing.where(F.col("n") <= seldom).withColumn("n", F.lit(None).cast("long")))
     rare = scored.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("r"))
-    found = rare.select("uid", F.col("r.rare").alias("w"), F.col("r.times").alias("k")).join(uncommon, "w")
+    found = rare.select("uid", F.col("r.rare").alias("w"), F.col("r.times").alias("k")).join(
+        uncommon.hint("shuffle_hash"), "w")  # a row for each w, so all parts are small
     found = found.groupBy("uid").agg(
         F.sum(F.col("k") * F.log10((F.col("n") + 0.5) / F.lit(below))).alias("base"),
         F.sum(F.when(F.col("n") > 0, F.col("k")).otherwise(0)).alias("known"),
@@ -1017,46 +1144,65 @@ def score_texts(
     )
 
 
+def _commonest(rows: DataFrame, by: str, most: int) -> tuple[pa.Table, int]:
+    """The rows that come first by a count and ``w``, and the count from which on others may follow."""
+    times = rows.groupBy(by).count().toArrow().sort_by([(by, "descending")])  # few counts differ
+    enough = np.flatnonzero(np.cumsum(times.column("count").to_numpy()) >= most)
+    least = int(times.column(by)[int(enough[0])].as_py()) if len(enough) else 0
+    found = rows.where(F.col(by) >= least).orderBy(F.col(by).desc(), "w").limit(most).toArrow()
+    return found, pc.min(found.column(by)).as_py() or 0
+
+
+@dataclass
+class Listed:
+    """Numbers whose places are looked up."""
+
+    numbers: np.ndarray
+
+    def __getstate__(self):
+        return {"numbers": self.numbers}
+
+    @functools.cached_property
+    def index(self) -> pd.Index:
+        return pd.Index(self.numbers)
+
+    def places(self, wanted: np.ndarray) -> np.ndarray:
+        """Where each number is, -1 if it isn't listed."""
+        return self.index.get_indexer(wanted)
+
+
 @dataclass
 class Held:
-    """The commonest words of each class, and for all of them in turn what each use adds."""
+    """The commonest words of classes by hash, and what each use adds; nothing for the place -1."""
 
-    words: list[pa.Array]
+    words: Listed
     score: np.ndarray
     base: np.ndarray
     known: np.ndarray
 
     @classmethod
     def of(cls, top: pa.Table, below: float) -> "Held":
-        top = top.sort_by("class")
-        number, n = top.column("class").to_numpy(), top.column("n").to_numpy()
-        words = top.column("word").combine_chunks().cast(pa.large_binary())
-        ends = np.searchsorted(number, np.arange(CLASSES + 1))
-        return cls([words.slice(a, b - a) for a, b in zip(ends, ends[1:])], top.column("score").to_numpy(),
-                   np.log10((n + 0.5) / below), (n > 0).astype(float))
+        n = top.column("n").to_numpy()
+        values = top.column("score").to_numpy(), np.log10((n + 0.5) / below), (n > 0).astype(float)
+        return cls(Listed(top.column("w").to_numpy()), *(np.append(x, 0.0) for x in values))
 
 
-def _scored(cut: Cut, classes: Classes, held: Held, between: tuple[np.ndarray, np.ndarray]) -> list[pa.Array]:
+def _scored(cut: Cut, classes: Classes, held: Held, between: tuple[Listed, np.ndarray]) -> list[pa.Array]:
     """n_tokens, n_known, base, score, words (hashes) and edges between words that aren't held, their counts."""
     k, width = classes.of_all(cut), len(cut.words)
-    at = np.full((CLASSES, width), -1, np.int64)
-    before = 0
-    for c, listed in enumerate(held.words):
-        if (k == c).any():
-            found = _places(cut.words, listed)
-            at[c] = np.where(found >= 0, found + before, -1)
-        before += len(listed)
-    place = at.ravel()[k[cut.doc] * width + cut.code]
-    other = place < 0
-    doc, place = cut.doc[~other], place[~other]
-    known, base, score = (np.bincount(doc, x[place], cut.n) for x in (held.known, held.base, held.score))
-    pairs, times = np.unique(cut.doc[other] * width + cut.code[other], return_counts=True)
-    rare_doc, word = pairs // width, pairs % width
-    distinct, of = np.unique(k[rare_doc] * width + word, return_inverse=True)
-    named = cut.words.take(pa.array(distinct % width)).to_pylist()
-    hashes = np.array([pair_hash(c, w) for c, w in zip((distinct // width).tolist(), named)], np.int64)
+    pair = k[cut.doc] * width + cut.code
+    seen = np.zeros(CLASSES * width, bool)
+    seen[pair] = True
+    distinct = np.flatnonzero(seen)
+    of = (np.cumsum(seen, dtype=np.int32) - 1)[pair]
+    hashes = pair_hashes(distinct // width, word_hashes(cut.words)[distinct % width])
+    place = held.words.places(hashes)
+    known, base, score = (np.bincount(cut.doc, x[place][of], cut.n) for x in (held.known, held.base, held.score))
+    other = np.flatnonzero((place < 0)[of])
+    pairs, times = np.unique(cut.doc[other] * len(distinct) + of[other], return_counts=True)
+    words = pairs // max(len(distinct), 1), hashes[pairs % max(len(distinct), 1)], times
     crossed, more = _crossing_sums(cut, k, *between)
-    rare_doc, rare, times = map(np.concatenate, zip((rare_doc, hashes[of], times), more))
+    rare_doc, rare, times = map(np.concatenate, zip(words, more))
     order = np.argsort(rare_doc, kind="stable")
     ends = pa.array(np.searchsorted(rare_doc[order], np.arange(cut.n + 1)).astype(np.int32))
     return [
@@ -1065,28 +1211,16 @@ def _scored(cut: Cut, classes: Classes, held: Held, between: tuple[np.ndarray, n
         pa.ListArray.from_arrays(ends, pa.array(times[order].astype(np.int32)))]
 
 
-def _crossing_sums(cut: Cut, k: np.ndarray, listed: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, tuple]:
+def _crossing_sums(cut: Cut, k: np.ndarray, listed: Listed, score: np.ndarray) -> tuple[np.ndarray, tuple]:
     """Each text's sum over the listed edges between its words, and (text, edge, times) of all others."""
     kind, keys = _crossings(cut, k)
-    at = _places(pa.array(keys.ravel()), pa.array(listed)).reshape(keys.shape)
-    known = at >= 0
+    at = listed.places(keys.ravel()).reshape(keys.shape)
     sums = np.append(score, 0.0)[at].sum(axis=1)  # -1 is the last
-    rare, doc, edge = ~known & (keys >= 0), [], []
-    for j in range(CROSSING):
-        some = rare[kind, j]
-        doc.append(cut.doc[some])
-        edge.append(keys[kind[some], j])
-    of, distinct = pd.factorize(np.concatenate(edge))
-    pairs, times = np.unique(np.concatenate(doc) * max(len(distinct), 1) + of, return_counts=True)
+    rare = (at < 0) & (keys >= 0)
+    tokens = np.flatnonzero(rare.any(axis=1)[kind])
+    places, column = np.nonzero(rare[kind[tokens]])
+    tokens = tokens[places]
+    of, distinct = pd.factorize(keys[kind[tokens], column])
+    pairs, times = np.unique(cut.doc[tokens] * max(len(distinct), 1) + of, return_counts=True)
     more = pairs // max(len(distinct), 1), distinct[pairs % max(len(distinct), 1)], times
     return np.bincount(cut.doc, sums[kind], cut.n), more
-
-
-def _hashed(pairs: DataFrame) -> DataFrame:
-    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
-            hashes = [pair_hash(k, w) for k, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(hashes, pa.int64()), batch.column(2), batch.column(3)], names=["w", "n", "x"])
-
-    return pairs.select("class", "word", "n", "score").mapInArrow(batches, "w long, n long, x double")

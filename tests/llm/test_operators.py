@@ -315,6 +315,41 @@ def test_lm_edges_between_words_are_exact(table, monkeypatch):
     assert found == want
 
 
+def test_lm_counts_travel_in_bundles(spark, given):
+    """Words and edges between them are counted in one pass, in as many rows as parts, and with the sums of all classes."""
+    docs, texts = given
+    cuts = lm_score.stored(lm_score._cuts(docs.repartition(3).withColumn("learn", lm_score.F.expr("doc_id % 5 <> 1"))), "cuts")
+    listed = {lm_score.END: 0, b"the": 1}
+    classes = lm_score.Classes(listed, np.zeros(lm_score.CLASSES), np.array([[0.0] * 6, [1.0] + [0.0] * 5]))
+    rows = lm_score._counted(cuts, classes)
+    found = rows.where("word IS NOT NULL").collect()
+    got = {(r["class"], bytes(r["word"])): (r["n"], r["uses"]) for r in found}
+    n, uses, total = Counter(), Counter(), Counter()
+    for i, t in texts:
+        words = lm_score._tokens((t or "").encode())
+        k = classes.of(words)
+        uses.update((k, w) for w in words)
+        if i is not None and i % 5 != 1:
+            n.update((k, w) for w in words)
+            total.update(words)
+    assert len(got) == len(found) and got == {x: (n[x], uses[x]) for x in uses}
+    assert all(r["total"] == total[bytes(r["word"])] for r in found)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and "Aggregate" not in plan  # no row travels for each word
+    assert rows.where("edges IS NOT NULL").count() <= 1 + cuts.count() // 2
+
+
+def test_lm_words_of_one_hash_are_told_apart():
+    words = lm_score.pa.array([b"a", b"b", b"a", b"c", b"b"], lm_score.pa.large_binary())
+    ones = np.ones(5, np.int64)
+    counts = lm_score.Counts(np.array([0, 0, 0, 1, 1]), words, np.zeros(5, np.uint64), ones, ones)
+    got, total = lm_score.Counts.added([counts, counts])
+    assert sorted(zip(got.k.tolist(), got.words.to_pylist(), got.n.tolist(), total.tolist())) == [
+        (0, b"a", 4, 4), (0, b"b", 2, 4), (1, b"b", 2, 4), (1, b"c", 2, 2)]
+    hashes = lm_score.word_hashes(words)
+    assert hashes[0] == hashes[2] and len({*hashes.tolist()}) == 3
+
+
 def test_lm_scores_do_not_depend_on_listed_edges(given, monkeypatch):
     got = lambda: {r["doc_id"]: (r["score"], r["base_score"], r["n_known"]) for r in lm_score.score_texts(given[0]).collect()}
     want = got()
