@@ -60,7 +60,7 @@ ORDERS = (1, 2, 3, 5)
 DIGIT, SPAN = 257, 257**5
 #: The commonest words of classes, whose scores workers keep; all others are joined.  Longer words don't tell
 #: classes apart.
-COMMON, COMMON_BYTES = 400_000, 256
+COMMON, COMMON_BYTES = 600_000, 256
 #: Bytes of a word whose last five bytes reach over the blank before it; their edges: the commonest ones
 #: that workers keep, those in a part, those counted before they are handed on.
 CROSSING, COMMON_CROSSINGS, CROSSING_PART, CROSSINGS_HELD = 4, 500_000, 200_000, 1 << 21
@@ -341,7 +341,7 @@ class Cut(NamedTuple):
 
 
 _CUTS = ("ids array<long>, held_out array<boolean>, learn array<boolean>, seeds array<long>, "
-         "tokens binary, codes binary, word_ends binary, letters binary")
+         "tokens binary, codes binary, lengths binary, letters binary")
 
 
 def _cuts(rows: DataFrame) -> DataFrame:
@@ -364,13 +364,13 @@ def _cuts(rows: DataFrame) -> DataFrame:
                     code, parent = (np.cumsum(keep) - 1)[code[keep[code]]], parent[keep[code]]
                     listed = listed.filter(some)
                 tokens = np.bincount(parent, minlength=b - a)
-                word_ends = np.append(0, np.cumsum(pc.binary_length(listed).to_numpy()))
+                word_ends, letters = _letters(listed)
                 yield pa.RecordBatch.from_arrays([
                     *(pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), batch.column(c).slice(a, b - a))
                       for c in (1, 2, 3, 4)),
                     *(pa.array([x], pa.binary()) for x in (
                         tokens.astype("<i4").tobytes(), code.astype("<i4").tobytes(),
-                        word_ends.astype("<i8").tobytes(), b"".join(listed.to_pylist())))], names=names)
+                        np.diff(word_ends).astype("<i4").tobytes(), letters.tobytes()))], names=names)
                 a = b
 
     names = [f.split(" ")[0] for f in _CUTS.split(", ")]
@@ -385,8 +385,9 @@ def _read_cuts(source: Iterator[pa.RecordBatch]) -> Iterator[Cut]:
         for i in range(batch.num_rows):
             ids, held_out, learn, seeds = (batch.column(c)[i].values for c in range(4))
             buffers = [batch.column(c)[i].as_buffer() for c in range(4, 8)]
-            tokens, code, ends = (np.frombuffer(x, k) for x, k in zip(buffers, ("<i4", "<i4", "<i8")))
-            n, words = len(tokens), pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, *buffers[2:]])
+            tokens, code, lengths = (np.frombuffer(x, "<i4") for x in buffers[:3])
+            ends = pa.py_buffer(np.append(0, np.cumsum(lengths, dtype=np.int64)))
+            n, words = len(tokens), pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, ends, buffers[3]])
             yield Cut(
                 ids, held_out, learn.to_numpy(zero_copy_only=False).astype(bool), seeds.to_numpy(),
                 np.append(np.repeat(np.arange(n), tokens), np.arange(n)),
@@ -616,8 +617,8 @@ def _counted(cuts: DataFrame, classes: Classes | None) -> DataFrame:
                 pair = k[cut.doc] * len(cut.words) + cut.code
                 uses, n = np.bincount(pair), np.bincount(pair, cut.learn[cut.doc])
                 kind, keys = _crossings(cut, k)
-                times = np.bincount(kind, cut.learn[cut.doc], len(keys))
-                edges = [_added_edges([*edges, (keys[keys >= 0], np.repeat(times, (keys >= 0).sum(axis=1)))])]
+                times, some = np.bincount(kind, cut.learn[cut.doc], keys.shape[1]), keys >= 0
+                edges = [_added_edges([*edges, *((x[there], times[there]) for x, there in zip(keys, some))])]
             found = np.flatnonzero(uses)
             code = found % len(cut.words)
             words.append(Counts(found // len(cut.words), cut.words.take(pa.array(code)), word_hashes(cut.words)[code],
@@ -676,7 +677,7 @@ def _counted(cuts: DataFrame, classes: Classes | None) -> DataFrame:
 
 
 def _crossings(cut: Cut, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The kind of each token, and for each kind its first ``CROSSING`` edges as context * 256 + byte, -1 where
+    """The kind of each token, and in ``CROSSING`` rows each kind's first edges as context * 256 + byte, -1 where
     there are fewer.  Tokens of a kind share the text's class, the five bytes before and their beginning."""
     offsets, data = (np.frombuffer(x, t) for x, t in zip(cut.words.buffers()[1:], ("<i8", np.uint8)))
     start, end = offsets[: len(cut.words)], offsets[1 : len(cut.words) + 1]
@@ -703,12 +704,13 @@ def _crossings(cut: Cut, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     of_head, heads = pd.factorize((head + 1) @ power[:CROSSING])
     kind, both = pd.factorize(before * len(heads) + of_head[cut.code])
     context = both // len(heads)
-    head = ((heads[:, None] // power[:CROSSING]) % DIGIT - 1)[both - context * len(heads)]
+    head = ((heads[:, None] // power[:CROSSING]) % DIGIT - 1).T[:, both - context * len(heads)]
     context = context // DIGIT**4 * SPAN + context % DIGIT**4 * DIGIT + BLANK
     keys = np.empty(head.shape, np.int64)
     for j in range(CROSSING):
-        keys[:, j] = np.where(head[:, j] >= 0, context * 256 + head[:, j], -1)
-        context = context // SPAN * SPAN + (context % SPAN * DIGIT + head[:, j] + 1) % SPAN
+        keys[j] = np.where(head[j] >= 0, context * 256 + head[j], -1)
+        topic = context // SPAN * SPAN
+        context = topic + ((context - topic) * DIGIT + head[j] + 1) % SPAN
     return kind, keys
 
 
@@ -1215,12 +1217,12 @@ def _crossing_sums(cut: Cut, k: np.ndarray, listed: Listed, score: np.ndarray) -
     """Each text's sum over the listed edges between its words, and (text, edge, times) of all others."""
     kind, keys = _crossings(cut, k)
     at = listed.places(keys.ravel()).reshape(keys.shape)
-    sums = np.append(score, 0.0)[at].sum(axis=1)  # -1 is the last
+    sums = np.append(score, 0.0)[at].sum(axis=0)  # -1 is the last
     rare = (at < 0) & (keys >= 0)
-    tokens = np.flatnonzero(rare.any(axis=1)[kind])
-    places, column = np.nonzero(rare[kind[tokens]])
+    tokens = np.flatnonzero(rare.any(axis=0)[kind])
+    row, places = np.nonzero(rare[:, kind[tokens]])
     tokens = tokens[places]
-    of, distinct = pd.factorize(keys[kind[tokens], column])
+    of, distinct = pd.factorize(keys[row, kind[tokens]])
     pairs, times = np.unique(cut.doc[tokens] * max(len(distinct), 1) + of, return_counts=True)
     more = pairs // max(len(distinct), 1), distinct[pairs % max(len(distinct), 1)], times
     return np.bincount(cut.doc, sums[kind], cut.n), more
